@@ -9,8 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WHITESPACE = " \t\n\r\u000b\u000c"
-# a markdown table: header line, separator line, rows; possessive repeats keep Java from recursing
-TABLE = r"(?dm)^\|.+?\|\s*\n\|[-\s|]+\|\s*\n(?:\|.+?\|\s*+\n?)++"
+# a markdown table: header line, separator line, rows to the end of their lines; the possessive repeat
+# keeps Java from recursing on long tables, and the line break after the table is not part of it
+TABLE = r"(?dm)^\|[^\n]*\|[ \t]*\n\|[- \t|]+\|[ \t]*\n\|[^\n]*\|[ \t]*$(?:\n\|[^\n]*\|[ \t]*$)*+"
 CALL_NAME = r"(\w+)\s*\("
 # Words before a bracket that are not calls worth listing.
 NOT_CALLS = ("if", "for", "while", "print", "len", "str", "int", "float", "bool", "dict", "list", "tuple", "set")
@@ -102,7 +103,7 @@ def drop_first_part(path: Column) -> Column:
 
 def _cells(row: Column) -> Column:
     parts = F.split(row, r"\|", -1)
-    return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), strip)
+    return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda c: strip(c))
 
 
 def table_blocks(text: Column) -> Column:
@@ -118,7 +119,7 @@ def table_rows(block: Column) -> Column:
     """Data rows as arrays of cells; blank lines between rows are skipped."""
     lines = F.split(strip(block), "\n", -1)
     data = F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0)))
-    return F.transform(F.filter(data, lambda x: strip(x) != ""), _cells)
+    return F.transform(F.filter(data, lambda x: strip(x) != ""), lambda row: _cells(row))
 
 
 def table_as_lines(block: Column) -> Column:
@@ -127,8 +128,8 @@ def table_as_lines(block: Column) -> Column:
 
     def row(cells: Column) -> Column:
         paired = F.slice(F.arrays_zip(header.alias("h"), cells.alias("c")), 1, F.least(F.size(header), F.size(cells)))
-        value = lambda p: F.replace(p["1"], F.lit(":white_check_mark:"), F.lit("✅"))
-        return F.array_join(F.transform(paired, lambda p: F.concat(F.lit("  *"), p["0"], F.lit("*: "), value(p))), "\n")
+        value = lambda p: F.replace(p["c"], F.lit(":white_check_mark:"), F.lit("✅"))
+        return F.array_join(F.transform(paired, lambda p: F.concat(F.lit("  *"), p["h"], F.lit("*: "), value(p))), "\n")
 
     return F.array_join(F.transform(table_rows(block), row), "\n\n")
 
