@@ -50,5 +50,10 @@ def compare(df, con, sql) -> str | None:
         return "oracle returns decimals"
     for g, w in zip(got, want):
         if g != w or [type(x) for x in g] != [type(x) for x in w]:
+            cut = [(a, b) for a, b in zip(g, w) if a != b or type(a) is not type(b)]
+            for a, b in cut:
+                if isinstance(a, str) and isinstance(b, str):
+                    at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+                    return f"row {str(g)[:60]} at {at}: ours ...{a[max(0, at - 80) : at + 80]!r} theirs ...{b[max(0, at - 80) : at + 80]!r}"
             return f"ours {g} theirs {w}"
     return None if want else "no rows"

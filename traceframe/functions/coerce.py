@@ -43,6 +43,14 @@ def _fits(text: Column, kind: str) -> Column:
     return text.isNull() | (strip(text) == "") | convert(text, kind).isNotNull() | (strip(text).isin(*NO_DATE) if kind == "timestamp" else F.lit(False))
 
 
+def _fitter(kind: str):
+    return lambda v: _fits(v, kind)
+
+
+def _getter(name: str):
+    return lambda x: x.getField(name)
+
+
 def _is_raw(name: str) -> bool:
     return name == "@odata.type" or name.endswith("@odata.context")
 
@@ -65,7 +73,7 @@ def _leaves(column: Column, kind: T.DataType, path: str) -> list[tuple[str, Colu
             out = []
             for field in inner.fields:
                 if not _is_raw(field.name):
-                    values = F.transform(column, lambda x, f=field: x.getField(f.name))
+                    values = F.transform(column, _getter(field.name))
                     for leaf, found in _leaves_of_array(values, field.dataType, f"{path}[].{field.name}"):
                         out.append((leaf, found))
             return out
@@ -80,7 +88,7 @@ def _leaves_of_array(values: Column, kind: T.DataType, path: str) -> list[tuple[
         out = []
         for field in kind.fields:
             if not _is_raw(field.name):
-                out += _leaves_of_array(F.transform(values, lambda x, f=field: x.getField(f.name)), field.dataType, f"{path}.{field.name}")
+                out += _leaves_of_array(F.transform(values, _getter(field.name)), field.dataType, f"{path}.{field.name}")
         return out
     if isinstance(kind, T.ArrayType):
         return _leaves_of_array(F.flatten(F.filter(values, lambda x: x.isNotNull())), kind.elementType, f"{path}[]")
@@ -101,7 +109,7 @@ def infer_types(df: DataFrame) -> dict[str, str]:
         seen = F.exists(values, lambda v: v.isNotNull() & (strip(v) != ""))
         tests.append(F.bool_or(seen).alias(f"s{i}"))
         for kind in ORDER:
-            tests.append(F.bool_and(F.forall(values, lambda v, k=kind: _fits(v, k))).alias(f"{kind}{i}"))
+            tests.append(F.bool_and(F.forall(values, _fitter(kind))).alias(f"{kind}{i}"))
     flags = df.agg(*tests).first()
     types = {}
     for i, (path, _) in enumerate(leaves):

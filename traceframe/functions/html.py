@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from traceframe.functions.text import hyperlink
 
@@ -54,7 +55,7 @@ def plain_text(html: str | None) -> str | None:
     return "\n".join(line for line in lines if line)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_to_text(html: pd.Series) -> pd.Series:
     """Visible text, one line per block, blanks collapsed."""
     return html.map(plain_text, na_action="ignore")

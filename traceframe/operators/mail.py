@@ -67,6 +67,10 @@ def searchable(term: str) -> bool:
     return len(term) <= TERM_LIMIT and not any(c in term for c in TERM_SKIP)
 
 
+def _holds(word: str):
+    return lambda value: F.lower(value).contains(word)
+
+
 def search(terms: Mapping[str, str]) -> Column:
     """Every field-scoped term must occur, ignoring case; terms too long or with ``=+/\\`` are left out."""
     tests = [F.lit(True)]
@@ -76,7 +80,7 @@ def search(terms: Mapping[str, str]) -> Column:
             continue
         scope = SEARCH_FIELDS.get(field, field)
         if scope == "participants":
-            tests.append(F.exists(participants(), lambda a, w=word: F.lower(a).contains(w)))
+            tests.append(F.exists(participants(), _holds(word)))
         else:
             column = {"from": F.col(SENDER), "body": F.col("bodyText")}.get(scope)
             tests.append(F.lower(column if column is not None else F.col(scope)).contains(word))

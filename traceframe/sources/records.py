@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from traceframe.operators.checks import BODY_CHARS
 
-CHECK_SCHEMA = T.StructType.fromDDL(
+CHECK_SCHEMA = (
     "check_id bigint, url string, ts timestamp, attempt int, method string, status int, error_type string, error string, body string"
 )
 SAMPLE_ROWS = 10
@@ -38,7 +38,7 @@ def sampled_schema(spark: SparkSession, path: str | list[str], rows: int = SAMPL
         head = [r.value for r in spark.read.text(path).where(F.trim("value") != "").limit(rows).collect()]
         if not head:
             return T.StructType([])
-        return spark.read.json(spark.createDataFrame([(h,) for h in head], "value string").select("value").rdd.map(lambda r: r[0])).schema
+        return spark.read.json(spark.sparkContext.parallelize(head, 1)).schema
     except Exception as error:  # noqa: BLE001 - the caller asked for a schema or an empty one
         spark._jvm.org.slf4j.LoggerFactory.getLogger("traceframe").warn(f"no schema for {path}: {error}")
         return T.StructType([])
