@@ -292,6 +292,8 @@ def trace_lines(detected: DataFrame, key: str = "stream_id", order: str = "line_
         scanned.withColumn("__start", start)
         .withColumn("trace_end", F.when(F.col("__start").isNotNull(), end))
         .withColumn("trace_start", F.when(F.col("trace_end").isNotNull(), F.col("__start")))
+        # lines of the trace still open at the end of the stream: what a later batch must see again
+        .withColumn("trace_open", F.col("__start").isNotNull() & ~F.col("is_exc") & F.col("__after").isNull())
         .drop("__before", "__after", "__chunk", "__start")
     )
 
@@ -303,7 +305,11 @@ def exception_events(
 
     ``lines`` needs ``stream_id``, a unique integer ``line_no``, ``ts`` and ``line``.
     """
-    marked = trace_lines(detect_lines(lines, extra), key, order)
+    return build_events(trace_lines(detect_lines(lines, extra), key, order), key, order)
+
+
+def build_events(marked: DataFrame, key: str = "stream_id", order: str = "line_no") -> DataFrame:
+    """Events from marked lines (see :func:`trace_lines`): traces gathered by their end, lone hits as they are."""
     traced = F.col("trace_start").isNotNull()
     lone = F.when(F.col("is_start"), F.struct(F.lit("start").alias("kind"), F.col(order).alias("at"))).when(
         ~traced & F.col("hit").isNotNull() & is_emitted(F.col("hit.pattern")) & ~F.col("is_file")

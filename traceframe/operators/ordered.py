@@ -23,9 +23,9 @@ CHUNK_ROWS = 1 << 16
 MICROS = 1_000_000
 
 
-def number_chunk(number: Column, size: int = CHUNK_ROWS) -> Column:
+def number_chunk(number: Column, size: int | None = None) -> Column:
     """Chunk of a unique integer position: at most ``size`` rows by construction."""
-    return F.floor(number / F.lit(size)).cast("long")
+    return F.floor(number / F.lit(size or CHUNK_ROWS)).cast("long")
 
 
 def time_chunks(
@@ -149,13 +149,14 @@ def number_rows(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[
 
 
 def last_rows(
-    df: DataFrame, keys: Sequence[str], position: str, value: Column, n: int, name: str, size: int = CHUNK_ROWS
+    df: DataFrame, keys: Sequence[str], position: str, value: Column, n: int, name: str, size: int | None = None
 ) -> DataFrame:
     """The last ``n`` values up to and including each row, as an array.
 
     ``position`` is dense, so chunk ``c`` needs only the last ``n - 1`` rows of ``c - 1``: those rows
     are sent to both chunks and every window group has at most ``size + n - 1`` rows.
     """
+    size = size or CHUNK_ROWS
     base, stand_ins = _null_safe(df.withColumn("__value", value), keys)
     own = F.floor((F.col(position) - 1) / F.lit(size)).cast("long")
     tail = F.col(position) > (F.col("__own") + 1) * size - (n - 1)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pyspark.sql.pandas.types import to_arrow_schema
+
 from traceframe.operators.checks import BODY_CHARS
 
 CHECK_SCHEMA = (
@@ -81,3 +84,16 @@ def project(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     """Merge scans by column name; order is not kept."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def per_item(df: DataFrame, generate: Callable[[dict], Iterable[dict]], schema: str) -> DataFrame:
+    """Rows a user generator yields for each item (none, one or many); items stay spread as they are."""
+    fields = df.sparkSession.createDataFrame([], schema).schema.fieldNames()
+
+    def work(batches):
+        for batch in batches:
+            rows = [row for item in batch.to_pylist() for row in generate(item)]
+            yield pa.RecordBatch.from_pydict({f: [r.get(f) for r in rows] for f in fields}, schema=arrow)
+
+    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+    return df.mapInArrow(work, schema)
