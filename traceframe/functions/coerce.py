@@ -55,10 +55,10 @@ def _is_raw(name: str) -> bool:
     return name == "@odata.type" or name.endswith("@odata.context")
 
 
-def _leaves(column: Column, kind: T.DataType, path: str) -> list[tuple[str, Column]]:
-    """Every string leaf below a column as ``(path, array of its values in this row)``."""
+def _leaves(column: Column, kind: T.DataType, path: str) -> list[tuple[str, Column, bool]]:
+    """Every string leaf below a column as ``(path, value or array of values in this row, is_array)``."""
     if isinstance(kind, T.StringType):
-        return [(path, F.array(column))]
+        return [(path, column, False)]
     if isinstance(kind, T.StructType):
         out = []
         for field in kind.fields:
@@ -68,22 +68,21 @@ def _leaves(column: Column, kind: T.DataType, path: str) -> list[tuple[str, Colu
     if isinstance(kind, T.ArrayType):
         inner = kind.elementType
         if isinstance(inner, T.StringType):
-            return [(f"{path}[]", F.coalesce(column, F.array().cast("array<string>")))]
+            return [(f"{path}[]", F.coalesce(column, F.array().cast("array<string>")), True)]
         if isinstance(inner, T.StructType):
             out = []
             for field in inner.fields:
                 if not _is_raw(field.name):
                     values = F.transform(column, _getter(field.name))
-                    for leaf, found in _leaves_of_array(values, field.dataType, f"{path}[].{field.name}"):
-                        out.append((leaf, found))
+                    out += _leaves_of_array(values, field.dataType, f"{path}[].{field.name}")
             return out
         return _leaves_of_array(column, inner, f"{path}[]")
     return []
 
 
-def _leaves_of_array(values: Column, kind: T.DataType, path: str) -> list[tuple[str, Column]]:
+def _leaves_of_array(values: Column, kind: T.DataType, path: str) -> list[tuple[str, Column, bool]]:
     if isinstance(kind, T.StringType):
-        return [(path, F.coalesce(values, F.array().cast("array<string>")))]
+        return [(path, F.coalesce(values, F.array().cast("array<string>")), True)]
     if isinstance(kind, T.StructType):
         out = []
         for field in kind.fields:
@@ -105,14 +104,15 @@ def infer_types(df: DataFrame) -> dict[str, str]:
     if not leaves:
         return {}
     tests = []
-    for i, (_, values) in enumerate(leaves):
-        seen = F.exists(values, lambda v: v.isNotNull() & (strip(v) != ""))
-        tests.append(F.bool_or(seen).alias(f"s{i}"))
+    some = lambda v: v.isNotNull() & (strip(v) != "")
+    for i, (_, value, is_array) in enumerate(leaves):
+        tests.append(F.bool_or(F.exists(value, some) if is_array else some(value)).alias(f"s{i}"))
         for kind in ORDER:
-            tests.append(F.bool_and(F.forall(values, _fitter(kind))).alias(f"{kind}{i}"))
+            fits = F.forall(value, _fitter(kind)) if is_array else _fits(value, kind)
+            tests.append(F.bool_and(fits).alias(f"{kind}{i}"))
     flags = df.agg(*tests).first()
     types = {}
-    for i, (path, _) in enumerate(leaves):
+    for i, (path, _, _) in enumerate(leaves):
         fitting = [k for k in ORDER if flags[f"s{i}"] and flags[f"{k}{i}"]]
         types[path] = fitting[0] if fitting else "string"
     return types

@@ -36,6 +36,19 @@ BATCH_FACTS = 20_000
 _DECISIONS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.TryStar, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.Match, ast.match_case)
 
 
+def _source(node: ast.AST | None) -> str | None:
+    """Source text of an expression; names, dotted names and constants without the general printer."""
+    if node is None:
+        return None
+    if isinstance(node, ast.Name):
+        return node.id
+    if isinstance(node, ast.Attribute) and isinstance(node.value, (ast.Name, ast.Attribute)):
+        return f"{_source(node.value)}.{node.attr}"
+    if isinstance(node, ast.Constant) and isinstance(node.value, (int, type(None))):
+        return repr(node.value)
+    return ast.unparse(node)
+
+
 def _params(args: ast.arguments) -> list[dict]:
     plain = [*args.posonlyargs, *args.args]
     defaults: list = [None] * (len(plain) - len(args.defaults)) + list(args.defaults)
@@ -43,9 +56,8 @@ def _params(args: ast.arguments) -> list[dict]:
     triples += [(args.vararg, None, True, False)] if args.vararg else []
     triples += [(a, d, False, False) for a, d in zip(args.kwonlyargs, args.kw_defaults)]
     triples += [(args.kwarg, None, False, True)] if args.kwarg else []
-    text = lambda n: None if n is None else ast.unparse(n)
     return [
-        {"name": a.arg, "type": text(a.annotation), "default": text(d), "is_vararg": v, "is_kwarg": k} for a, d, v, k in triples
+        {"name": a.arg, "type": _source(a.annotation), "default": _source(d), "is_vararg": v, "is_kwarg": k} for a, d, v, k in triples
     ]
 
 
@@ -86,13 +98,13 @@ class _Facts(ast.NodeVisitor):
         name = ".".join([*([self.owner[-1]] if self.owner else []), node.name]) if not self.scope else f"{self.scope[-1]}.{node.name}"
         if self.scope and self.owner and not self.scope[-1].startswith(self.owner[-1] + "."):
             name = f"{self.owner[-1]}.{node.name}"
-        returns = f" -> {ast.unparse(node.returns)}" if node.returns else ""
+        returns = f" -> {_source(node.returns)}" if node.returns else ""
         self.emit(
             "function",
             node,
             name=name,
             detail=f"{node.name}({ast.unparse(node.args)})|{returns[4:]}",
-            items=[ast.unparse(d) for d in node.decorator_list],
+            items=[_source(d) for d in node.decorator_list],
             params=_params(node.args),
             doc=ast.get_docstring(node),
             is_async=is_async,
@@ -112,14 +124,14 @@ class _Facts(ast.NodeVisitor):
         self._define(node, True)
 
     def visit_ClassDef(self, node):
-        decorators = [ast.unparse(d) for d in node.decorator_list]
-        self.emit("class", node, name=node.name, items=[ast.unparse(b) for b in node.bases], doc=ast.get_docstring(node), detail=",".join(decorators))
+        decorators = [_source(d) for d in node.decorator_list]
+        self.emit("class", node, name=node.name, items=[_source(b) for b in node.bases], doc=ast.get_docstring(node), detail=",".join(decorators))
         self.owner.append(node.name)
         self.generic_visit(node)
         self.owner.pop()
 
     def visit_Call(self, node):
-        self.emit("call", node, name=ast.unparse(node.func), detail=self.context(node))
+        self.emit("call", node, name=_source(node.func), detail=self.context(node))
         self.generic_visit(node)
 
     def visit_Attribute(self, node):
@@ -138,12 +150,12 @@ class _Facts(ast.NodeVisitor):
     def visit_Assign(self, node):
         for target in node.targets:
             if isinstance(target, ast.Name) and not self.scope:
-                self.emit("variable", node, name=target.id, detail=ast.unparse(node.value))
+                self.emit("variable", node, name=target.id, detail=_source(node.value))
         self.generic_visit(node)
 
     def visit_AnnAssign(self, node):
         if isinstance(node.target, ast.Name) and not self.scope:
-            self.emit("variable", node, name=node.target.id, detail=ast.unparse(node.value) if node.value else None)
+            self.emit("variable", node, name=node.target.id, detail=_source(node.value))
         self.generic_visit(node)
 
 
@@ -393,6 +405,25 @@ def last_by_name(rows: DataFrame, name: str, order: list[str]) -> DataFrame:
     return picked.select("__r.*")
 
 
+def unified_summary(facts: DataFrame) -> DataFrame:
+    """Functions, distinct call relationships, modules and broken files, counted in one pass over the facts."""
+    kind = F.col("kind")
+    item = (
+        F.when(kind == "function", "functions").when((kind == "call") & F.col("scope").isNotNull(), "relationships")
+        .when(kind == "import", "modules").when(kind == "error", "errors")
+    )
+    own = F.when(F.col("name").startswith("self.") & F.col("class_name").isNotNull(), F.regexp_replace("name", "^self", F.col("class_name")))
+    subject = (
+        F.when(item == "functions", F.struct("path", F.col("name").alias("name")))
+        .when(item == "relationships", F.struct(F.col("scope").alias("path"), F.coalesce(own, F.col("name")).alias("name")))
+        .when(item == "modules", F.struct(F.lit("").alias("path"), F.col("name").alias("name")))
+        .otherwise(F.struct("path", F.lit("").alias("name")))
+    )
+    return facts.where(item.isNotNull()).select(item.alias("item"), subject.alias("subject")).groupBy("item").agg(
+        F.count_distinct("subject").alias("n")
+    )
+
+
 def summary_export(files: DataFrame, facts: DataFrame) -> DataFrame:
     """One JSON text per file with its functions, classes, imports and errors."""
     entry = F.struct("kind", "name", "line", "end_line", "class_name", "scope", "detail")

@@ -65,14 +65,15 @@ def call_chain(edges: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataF
     """Nodes reachable from each start with their least depth and one parent.
 
     Breadth first: each round joins the frontier with the edges, keeps one row per new node and drops
-    nodes seen before, so cycles end. Frontier and visited set are checkpointed to shared storage each
-    round; the plan stays short and a lost executor does not replay earlier rounds.
+    nodes seen before, so cycles end. Every frontier is written once to shared storage; the visited set
+    is the union of those tables. The plan stays short and a lost executor replays one round at most.
     """
-    seen = starts.select(
-        F.col("name").alias("start"), F.col("name").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")
+    frontier = cut_lineage(
+        starts.select(
+            F.col("name").alias("start"), F.col("name").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")
+        )
     )
-    seen = cut_lineage(seen)
-    frontier = seen
+    seen = frontier
     for depth in range(1, max_depth + 1):
         reached = (
             frontier.select("start", F.col("node").alias("caller"))
@@ -84,7 +85,7 @@ def call_chain(edges: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataF
         frontier = cut_lineage(fresh.select("start", "node", F.lit(depth).alias("depth"), "parent"))
         if frontier.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(frontier)) if depth < max_depth else seen.unionByName(frontier)
+        seen = seen.unionByName(frontier)
     return seen
 
 

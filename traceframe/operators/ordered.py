@@ -104,7 +104,8 @@ def ordered_scan(
         for name, value in columns.items():
             base = base.withColumn(f"__{kind}_{name}", value)
     group = [*stand_ins, chunk]
-    position = F.struct(*[F.col(c) for c in order])
+    # one plain column keeps the chunk summary a hash aggregate; a struct would make it sort its input
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
 
     ahead = Window.partitionBy(*group).orderBy(*[F.col(c).asc() for c in order])
     back = Window.partitionBy(*group).orderBy(*[F.col(c).desc() for c in order])
@@ -156,7 +157,9 @@ def last_rows(
     ``position`` is dense, so chunk ``c`` needs only the last ``n - 1`` rows of ``c - 1``: those rows
     are sent to both chunks and every window group has at most ``size + n - 1`` rows.
     """
-    size = size or CHUNK_ROWS
+    size = size or max(CHUNK_ROWS, n)
+    if size < n - 1:
+        raise ValueError(f"a chunk of {size} rows is shorter than the {n} rows looked back")
     base, stand_ins = _null_safe(df.withColumn("__value", value), keys)
     own = F.floor((F.col(position) - 1) / F.lit(size)).cast("long")
     tail = F.col(position) > (F.col("__own") + 1) * size - (n - 1)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceframe.functions.text import line_number
+from traceframe.operators.logs import evaluate_once
 
 RESULT = (
     "file string, check_type string, success boolean, messages array<string>, warnings array<string>, errors array<string>, "
@@ -91,11 +92,10 @@ def summarize(results: DataFrame) -> DataFrame:
 def near_changes(issues: DataFrame, changed: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     """Issues within ``tolerance`` lines of a changed line of their file; issues naming no line stay.
 
-    Each changed line becomes the few lines it covers, so the band is an equality semi-join.
+    Each changed line becomes the few lines it covers, so the band is an equality join.
     """
-    placed = issues.withColumn("line", line_number(F.col("message")))
-    band = changed.select(
-        "file", F.explode(F.sequence((F.col("line") - tolerance).cast("int"), (F.col("line") + tolerance).cast("int"))).alias("line")
-    ).distinct()
-    near = placed.where(F.col("line").isNotNull()).join(band, ["file", "line"], "left_semi")
-    return near.select(*placed.columns).unionByName(placed.where(F.col("line").isNull()))
+    placed = evaluate_once(issues, F.struct(line_number(F.col("message")).alias("line")))
+    first, last = (F.col("line") - tolerance).cast("int"), (F.col("line") + tolerance).cast("int")
+    band = changed.select("file", F.explode(F.sequence(first, last)).alias("line")).distinct().withColumn("__near", F.lit(True))
+    # the band has each (file, line) once, so a left join adds no rows and the issues are read a single time
+    return placed.join(band, ["file", "line"], "left").where(F.col("__near") | F.col("line").isNull()).select(*placed.columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from traceframe.operators import code, graph, validate
 from traceframe.plans.registry import query
 from traceframe.plans.views import table, view
+from traceframe.session import cut_lineage, spread
 
 GOOD = "p_partkey % 50 <> 49"
 # what the module of part p defines, read off the rule that wrote it
@@ -31,11 +32,16 @@ USES = f"""uses AS (
 
 
 def source(spark, sf):
-    return view(spark, sf, "v_source")
+    return spread(view(spark, sf, "v_source"))
 
 
 def facts(spark, sf):
-    return code.syntax_facts(source(spark, sf), partitions=spark.sparkContext.defaultParallelism)
+    return code.syntax_facts(source(spark, sf))
+
+
+def facts_table(spark, sf):
+    """Facts written once, for operators that read them twice."""
+    return cut_lineage(facts(spark, sf).where(F.col("kind").isin("import", "attribute")))
 
 
 def edges(spark, sf):
@@ -130,7 +136,7 @@ def x14(spark, sf):
     ["v_source"],
 )
 def j09(spark, sf):
-    return code.module_uses(facts(spark, sf))
+    return code.module_uses(facts_table(spark, sf))
 
 
 @query(
@@ -153,17 +159,7 @@ def a06(spark, sf):
     ["v_source"],
 )
 def g03(spark, sf):
-    found = facts(spark, sf)
-    named = lambda df, item: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(item).alias("item"), "n")
-    parts = [
-        named(code.functions(found), "functions"),
-        named(graph.distinct_edges(code.calls(found)), "relationships"),
-        named(code.imports(found).select("module").distinct(), "modules"),
-        named(code.errors(found), "errors"),
-    ]
-    from traceframe.sources.records import union_all
-
-    return union_all(parts)
+    return code.unified_summary(facts(spark, sf))
 
 
 @query(
@@ -227,7 +223,7 @@ def a11(spark, sf):
     ["v_source"],
 )
 def a12(spark, sf):
-    found = facts(spark, sf)
+    found = facts_table(spark, sf)
     return code.module_counts(code.imports(found), code.module_uses(found))
 
 
@@ -287,7 +283,7 @@ TOP5 = """SELECT name FROM (SELECT caller AS name FROM v_edges UNION ALL SELECT
     ["v_edges"],
 )
 def g02(spark, sf):
-    e = edges(spark, sf)
+    e = cut_lineage(edges(spark, sf))
     return graph.call_chain(e, graph.top_by_degree(e, 5), 5).select("start", "node", "depth")
 
 
@@ -394,7 +390,7 @@ def t04(spark, sf):
     ["v_source"],
 )
 def t04_modules(spark, sf):
-    uses = code.module_uses(facts(spark, sf)).groupBy("module").agg(F.count(F.lit(1)).alias("uses"))
+    uses = code.module_uses(facts_table(spark, sf)).groupBy("module").agg(F.count(F.lit(1)).alias("uses"))
     return uses.orderBy(F.desc("uses"), "module").limit(10)
 
 

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from traceframe.operators import edits
 from traceframe.plans.registry import query
 from traceframe.plans.views import table, view
+from traceframe.session import spread
 
 WS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 
 
 def plan(spark, sf):
-    return view(spark, sf, "v_edits")
+    return spread(view(spark, sf, "v_edits"))
 
 
 def both(spark, sf):
@@ -100,7 +101,7 @@ _SRC = "d AS (SELECT o_orderkey AS diff_id, o_orderkey, o_custkey, o_orderstatus
 
 
 def diffs(spark, sf):
-    return view(spark, sf, "v_diff")
+    return spread(view(spark, sf, "v_diff"))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from traceframe.operators import logs
 from traceframe.plans.registry import query
 from traceframe.plans.views import table, view
+from traceframe.session import spread
 from traceframe.sources import text_lines
 
 _TYPES = "|".join(logs.BUILTIN_TYPES)
@@ -66,7 +67,7 @@ events AS (
 
 
 def lines(spark, sf):
-    return view(spark, sf, "v_lines")
+    return spread(view(spark, sf, "v_lines"))
 
 
 def hit_columns(df, *extra):

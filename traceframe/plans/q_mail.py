@@ -8,6 +8,7 @@ from traceframe.functions import coerce, html
 from traceframe.operators import conversation, mail
 from traceframe.plans.registry import query
 from traceframe.plans.views import table, view
+from traceframe.session import spread
 from traceframe.sources import records
 
 
@@ -260,7 +261,7 @@ _BLOCK_RX = "(?i)</?(" + "|".join(html.BLOCKS) + ")([ \\t\\n/][^>]*)?>"
     SELECT page_id, array_to_string(ls, chr(10)) AS txt FROM l""",
 )
 def x05(spark, sf):
-    return table(spark, sf, "pages").select("page_id", html.html_to_text("html").alias("txt"))
+    return spread(table(spark, sf, "pages")).select("page_id", html.html_to_text("html").alias("txt"))
 
 
 @query(
@@ -270,7 +271,7 @@ def x05(spark, sf):
     ["v_html"],
 )
 def s12(spark, sf):
-    rows = html.table_rows(view(spark, sf, "v_html"), "parent_id")
+    rows = html.table_rows(spread(view(spark, sf, "v_html")), "parent_id")
     return rows.select("parent_id", "row_no", "row_class", F.array_join("cells", "|").alias("cells"))
 
 
@@ -282,7 +283,7 @@ _TECH = f"""t AS (SELECT parent_id, 'T' || c_custkey AS id, c_name AS name FROM
 
 @query("w08_forward_fill", f"WITH {_TECH}", ["v_html"])
 def w08(spark, sf):
-    rows = html.table_rows(view(spark, sf, "v_html"), "parent_id")
+    rows = html.table_rows(spread(view(spark, sf, "v_html")), "parent_id")
     return html.technique_rows(rows, "parent_id", _PREFIX).select("parent_id", "id", "name", "hyperlink")
 
 
@@ -294,7 +295,7 @@ def w08(spark, sf):
 def j10(spark, sf):
     customers = table(spark, sf, "customer").where(F.col("c_acctbal") > 0)
     parents = customers.select(F.concat(F.lit("TA"), F.col("c_custkey").cast("string")).alias("parent_id"))
-    expanded = html.expand_parents(parents, view(spark, sf, "v_html"), "parent_id", _PREFIX)
+    expanded = html.expand_parents(parents, spread(view(spark, sf, "v_html")), "parent_id", _PREFIX)
     return expanded.select("parent_id", "id", "name", "hyperlink")
 
 
@@ -304,7 +305,7 @@ def j10(spark, sf):
     ["v_html"],
 )
 def u01(spark, sf):
-    pages = view(spark, sf, "v_html")
+    pages = spread(view(spark, sf, "v_html"))
     halves = [pages.where(F.col("c_custkey") % 2 == i) for i in range(2)]
     frames = [html.technique_rows(html.table_rows(h, "parent_id"), "parent_id", _PREFIX) for h in halves]
     return records.union_all(frames).select("parent_id", "id", "name", "hyperlink")

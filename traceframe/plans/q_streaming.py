@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from traceframe.operators import checks, logs
@@ -12,17 +10,13 @@ from traceframe.plans.q_checks import failures
 from traceframe.plans.q_logs import TRACES
 from traceframe.plans.registry import query
 from traceframe.plans.views import table
-from traceframe.session import checkpoint_root
+from traceframe.session import scratch_folder as scratch
 from traceframe.sinks import streaming as sinks
 from traceframe.sources import records
 from traceframe.streaming import live
 from traceframe.streaming.carry import Carry
 
 
-def scratch(spark) -> str:
-    return f"{checkpoint_root(spark)}/traceframe-{uuid.uuid4().hex}"
-
-
 def replay(spark, df, order: str, slices: int = 3):
     """All rows of ``df`` as a stream of ``slices`` files in ``order``; returns (stream, folder)."""
     root = scratch(spark)

@@ -8,6 +8,7 @@ from traceframe.functions import globs, text
 from traceframe.operators import search
 from traceframe.plans.registry import query
 from traceframe.plans.views import table, view
+from traceframe.session import spread
 from traceframe.sources.text_lines import split_lines
 
 WS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
@@ -16,15 +17,15 @@ LINES = """lines AS (SELECT path, text, unnest(string_split(text, chr(10))) AS l
 
 
 def files(spark, sf):
-    return view(spark, sf, "v_files")
+    return spread(view(spark, sf, "v_files"))
 
 
 def source(spark, sf):
-    return view(spark, sf, "v_source")
+    return spread(view(spark, sf, "v_source"))
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 @query(
