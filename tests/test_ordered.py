@@ -64,9 +64,9 @@ def test_last_rows_shorter_chunk_than_tail(rows):
         ordered.last_rows(dense, ["k"], "no", F.col("n"), 10, "tail", 4)
 
 
-@pytest.mark.parametrize("seconds,chunk", [(70, 30), (300, 3600), (1, 5)])
-def test_trailing_counts(rows, seconds, chunk):
-    got = ordered.trailing_counts(rows, ["k"], "ts", seconds, "n_recent", chunk).select("k", "n", "n_recent")
+@pytest.mark.parametrize("seconds,chunk,limit", [(70, 30, 10_000), (300, 3600, 10_000), (1, 5, 10_000), (300, 3600, 3)])
+def test_trailing_counts(rows, seconds, chunk, limit):
+    got = ordered.trailing_counts(rows, ["k"], "ts", seconds, "n_recent", chunk, 1, limit).select("k", "n", "n_recent")
     w = Window.partitionBy("k").orderBy(F.unix_micros("ts")).rangeBetween(-(seconds * 1_000_000 - 1), 0)
     same(got, rows.select("k", "n", F.count(F.lit(1)).over(w).alias("n_recent")))
 

@@ -331,8 +331,8 @@ def corpus_totals(files: DataFrame, facts: DataFrame) -> DataFrame:
         (F.count_if(top) + F.coalesce(F.sum(F.when(F.col("kind") == "branch", F.col("weight"))), F.lit(0))).alias("complexity"),
         F.count_if(F.col("kind") == "error").alias("errors"),
     )
-    # both sides are exactly one row, joined on a constant
-    return sizes.withColumn("__one", F.lit(1)).join(counted.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    both = sizes.unionByName(counted, allowMissingColumns=True)
+    return both.agg(*[F.sum(c).cast("long").alias(c) for c in both.columns])
 
 
 def top_complex(funcs: DataFrame, keep: int = 10, name: Column | None = None) -> DataFrame:

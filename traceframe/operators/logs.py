@@ -366,7 +366,7 @@ def with_context(
     return context_before(events, lines, [key], order, rendered, n, "context_lines")
 
 
-def label_streams(events: DataFrame, streams: DataFrame, key: str = "stream_id", max_dim_rows: int = 100_000) -> DataFrame:
+def label_streams(events: DataFrame, streams: DataFrame, key: str = "stream_id") -> DataFrame:
     """Left join with the stream dimension; ``Unknown`` / ``LOW`` where it has no entry.
 
     Spark broadcasts the dimension by its own size threshold; no hint forces it.

@@ -31,21 +31,26 @@ def number_chunk(number: Column, size: int | None = None) -> Column:
 def time_chunks(
     df: DataFrame,
     keys: Sequence[str],
-    ts: str,
+    ts: str | Column,
     name: str = "__chunk",
     coarse_seconds: int = 86_400,
-    fine_seconds: int = 60,
+    fine_seconds: int = 1,
     limit: int = 5_000_000,
 ) -> DataFrame:
     """Add a time chunk: the start (in microseconds) of a coarse interval, or of a fine one where
-    the coarse interval of this key holds more than ``limit`` rows.
+    the coarse interval of this key holds more than ``limit`` rows. ``ts`` is a timestamp column, or a
+    Column of microseconds.
 
     Fine intervals nest in coarse ones, so chunks of both widths order by their start. The list of
     crowded intervals has at most ``rows / limit`` entries (200,000 for 10^12 rows), which is the
     proof of size behind the broadcast.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    start = lambda seconds: (F.floor(micros / F.lit(seconds * MICROS)) * (seconds * MICROS)).cast("long")
+    micros = F.unix_micros(F.col(ts).cast("timestamp")) if isinstance(ts, str) else ts
+
+    def start(seconds: int) -> Column:
+        width = seconds * MICROS
+        return (micros - F.pmod(micros, F.lit(width))).cast("long")
+
     spread = df.withColumn("__wide", start(coarse_seconds))
     crowded = (
         spread.groupBy(*keys, "__wide")
@@ -197,7 +202,14 @@ def context_before(
 
 
 def trailing_counts(
-    events: DataFrame, keys: Sequence[str], ts: str, seconds: int, name: str, chunk_seconds: int = 3_600
+    events: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    seconds: int,
+    name: str,
+    chunk_seconds: int = 3_600,
+    fine_seconds: int = 1,
+    limit: int = 5_000_000,
 ) -> DataFrame:
     """Events of the same key in ``(ts - seconds, ts]`` for every event; equal times are peers.
 
@@ -226,8 +238,8 @@ def trailing_counts(
         F.col("step.sign").alias("__sign"),
         # at one position the events come first, so an event exactly ``seconds`` old is outside
         (-F.col("step.sign")).alias("__rank"),
-        F.floor(F.col("step.at") / F.lit(chunk_seconds * MICROS)).cast("long").alias("__chunk"),
     )
+    steps = time_chunks(steps, keys, F.col("__pos"), "__chunk", chunk_seconds, fine_seconds, limit)
     running = ordered_scan(steps, keys, "__chunk", ["__pos", "__rank"], sums={"__c": F.col("__add")})
     counts = running.groupBy(*keys, "__moment").agg(F.sum(F.col("__sign") * F.col("__c")).alias(name))
     base, stand_ins = _null_safe(

@@ -77,8 +77,8 @@ def search_symbols(symbols: DataFrame, pattern: str, columns: Sequence[str] = ("
 def lookup_function(functions: DataFrame, name: str, column: str = "full_name", suggestions: int = 5) -> DataFrame:
     """Exact matches (rank 0), else names containing it (rank 1), else up to five look-alikes (rank 2).
 
-    Look-alikes ignore case and appear only when nothing else matches; whether anything does is one
-    aggregate row, attached to the at most ``suggestions`` rows that could need it.
+    Look-alikes ignore case and appear only when nothing else matches, which is an EXISTS test on the
+    at most ``suggestions`` rows that could need it.
     """
     full = F.col(column)
     ranked = functions.withColumn(
@@ -86,9 +86,8 @@ def lookup_function(functions: DataFrame, name: str, column: str = "full_name",
         F.when(full == name, 0).when(full.contains(name), 1).when(F.lower(full).contains(name.lower()), 2),
     ).where(F.col("rank").isNotNull())
     better = ranked.where(F.col("rank") < 2)
-    nothing = better.limit(1).agg((F.count(F.lit(1)) == 0).alias("__none"))
     spare = ranked.where(F.col("rank") == 2).orderBy(column).limit(suggestions)
-    return better.unionByName(spare.join(nothing, F.col("__none")).drop("__none"))
+    return better.unionByName(spare.where(~better.exists()))
 
 
 def unique_paths(files: DataFrame, requests: Sequence[str], path: str = "path") -> DataFrame:

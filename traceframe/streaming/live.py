@@ -76,6 +76,7 @@ def live_exceptions(
                 # streams silent in this batch are part of ``marked`` through their carried lines
                 remembered = remembered.dropDuplicates([key, order])
             carry.save(remembered, batch_id)
+            marked.unpersist()
         finally:
             numbered.unpersist()
 
