@@ -71,6 +71,14 @@ def test_trailing_counts(rows, seconds, chunk, limit):
     same(got, rows.select("k", "n", F.count(F.lit(1)).over(w).alias("n_recent")))
 
 
+def test_rows_without_a_time_are_kept(spark):
+    rows = spark.createDataFrame([("u", None, 1), ("u", 5, 2), (None, None, 3)], "k string, s long, id int").withColumn("ts", F.timestamp_seconds("s"))
+    numbered = alerts.numbered(rows, ["k"], "ts", "id").select("id", "n_event").collect()
+    assert sorted(map(tuple, numbered)) == [(1, 1), (2, 2), (3, 1)]
+    counted = ordered.trailing_counts(rows, ["k"], "ts", 10, "n").select("id", "n").collect()
+    assert sorted(map(tuple, counted)) == [(1, None), (2, 1), (3, None)]
+
+
 def test_trailing_alert_edges(spark):
     base = 1_700_000_000
     rows = [("u", base + s, i) for i, s in enumerate([0, 100, 299, 300, 600])]

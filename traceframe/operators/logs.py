@@ -274,7 +274,8 @@ def trace_lines(detected: DataFrame, key: str = "stream_id", order: str = "line_
     neither a busy stream nor a trace that never ends is gathered anywhere. A start inside an open
     trace drops the lines before it.
     """
-    mark = F.when(F.col("is_start"), F.col(order) * 2 + 1).when(F.col("is_exc"), F.col(order) * 2)
+    place = F.col(order).cast("long")
+    mark = F.when(F.col("is_start"), place * 2 + 1).when(F.col("is_exc"), place * 2)
     found = F.when(F.col("hit").isNotNull() & ~F.col("is_file"), 1).otherwise(0).cast("long")
     scanned = ordered_scan(
         detected.withColumn("__chunk", number_chunk(F.col(order))),
@@ -285,7 +286,7 @@ def trace_lines(detected: DataFrame, key: str = "stream_id", order: str = "line_
         last={"__before": mark},
         next={"__after": mark},
     )
-    half = lambda c: F.floor(F.col(c) / 2).cast("long")
+    half = lambda c: F.shiftright(c, 1)
     start = F.when(F.col("is_start"), F.col(order)).when(F.col("__before") % 2 == 1, half("__before"))
     end = F.when(F.col("is_exc"), F.col(order)).when(F.col("__after") % 2 == 0, half("__after"))
     return (

@@ -24,8 +24,9 @@ MICROS = 1_000_000
 
 
 def number_chunk(number: Column, size: int | None = None) -> Column:
-    """Chunk of a unique integer position: at most ``size`` rows by construction."""
-    return F.floor(number / F.lit(size or CHUNK_ROWS)).cast("long")
+    """Chunk of a unique integer position, named by its first one: at most ``size`` rows by construction."""
+    whole = number.cast("long")
+    return whole - F.pmod(whole, F.lit(size or CHUNK_ROWS))
 
 
 def time_chunks(
@@ -104,7 +105,8 @@ def ordered_scan(
     * ``next`` – first non-null value strictly after the row.
     """
     sums, last, next = dict(sums or {}), dict(last or {}), dict(next or {})
-    base, stand_ins = _null_safe(df, keys)
+    # rows without a position sort first, as nulls do, and must not get lost in the join on the chunk
+    base, stand_ins = _null_safe(df.withColumn(chunk, F.coalesce(chunk, F.lit(-(1 << 63)))), keys)
     for kind, columns in (("s", sums), ("l", last), ("n", next)):
         for name, value in columns.items():
             base = base.withColumn(f"__{kind}_{name}", value)
@@ -213,11 +215,13 @@ def trailing_counts(
 ) -> DataFrame:
     """Events of the same key in ``(ts - seconds, ts]`` for every event; equal times are peers.
 
+    An event without a time is in no window and counts as null.
+
     Events first shrink to one row per distinct time. With ``C(t)`` the running count of the key, the
     answer is ``C(ts) - C(ts - seconds)``; both are read off one chunked running sum over the
     times and their shifted copies, so neither a long window nor a busy key fills one task.
     """
-    moments = events.groupBy(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("__at")).agg(
+    moments = events.where(F.col(ts).isNotNull()).groupBy(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("__at")).agg(
         F.count(F.lit(1)).alias("__n")
     )
     step = lambda at, n, sign: F.struct(at.alias("at"), n.alias("n"), F.lit(sign).alias("sign"))
@@ -246,6 +250,6 @@ def trailing_counts(
         events.withColumn("__moment", F.unix_micros(F.col(ts).cast("timestamp"))), keys
     )
     counts, _ = _null_safe(counts, keys)
-    return base.join(counts.select(*stand_ins, "__moment", name), [*stand_ins, "__moment"]).select(
+    return base.join(counts.select(*stand_ins, "__moment", name), [*stand_ins, "__moment"], "left").select(
         *events.columns, name
     )

@@ -56,7 +56,7 @@ def f12(spark, sf):
 @query(
     "f13_predicate_chain",
     """SELECT event_id, url FROM v_failures WHERE (response_status IS NULL OR response_status >= 500 OR lower(exception) LIKE '%timeout%')
-    AND url LIKE '%brick=b1%'""",
+    AND url LIKE '%feed=b1%'""",
     ["v_failures"],
 )
 def f13(spark, sf):
@@ -65,7 +65,7 @@ def f13(spark, sf):
         | (F.col("response_status") >= 500)
         | F.lower("exception").contains("timeout")
     )
-    return checks.filter_all(failures(spark, sf), [serious, F.col("url").contains("brick=b1")]).select("event_id", "url")
+    return checks.filter_all(failures(spark, sf), [serious, F.col("url").contains("feed=b1")]).select("event_id", "url")
 
 
 @query(

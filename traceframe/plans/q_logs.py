@@ -103,14 +103,14 @@ def s01(spark, sf):
 
 @query(
     "s02_stream_fan_in",
-    """SELECT 'stream' || stream_id AS stream_id, 'https://logs.example.org/?brick=' || stream_id AS url, COUNT(*) AS n,
+    """SELECT 'stream' || stream_id AS stream_id, 'https://logs.example.org/?feed=' || stream_id AS url, COUNT(*) AS n,
     CAST(SUM(length(line)) AS BIGINT) AS chars FROM v_lines GROUP BY ALL""",
     ["v_lines"],
 )
 def s02(spark, sf):
     all_lines = lines(spark, sf)
     streams = {
-        f"stream{i}": (f"https://logs.example.org/?brick={i}", all_lines.where(F.col("stream_id") == i).drop("stream_id"))
+        f"stream{i}": (f"https://logs.example.org/?feed={i}", all_lines.where(F.col("stream_id") == i).drop("stream_id"))
         for i in range(3)
     }
     merged = text_lines.fan_in(streams)
@@ -266,14 +266,14 @@ def f10(spark, sf):
 
 @query(
     "f11_stream_of_url",
-    r"""SELECT brick, ref, COUNT(*) AS n FROM (
-    SELECT coalesce(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), ''), 'unknown') AS brick,
+    r"""SELECT feed, ref, COUNT(*) AS n FROM (
+    SELECT coalesce(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), ''), 'unknown') AS feed,
     coalesce(nullif(regexp_extract(url, '[?&]ref=([^&#]*)', 1), ''), 'unknown') AS ref FROM pages) GROUP BY ALL""",
 )
 def f11(spark, sf):
     pages = table(spark, sf, "pages")
     return pages.groupBy(
-        logs.stream_of_url(F.col("url"), "page").alias("brick"), logs.stream_of_url(F.col("url"), "ref").alias("ref")
+        logs.stream_of_url(F.col("url"), "page").alias("feed"), logs.stream_of_url(F.col("url"), "ref").alias("ref")
     ).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -197,3 +197,92 @@ def h04(spark, sf):
             yield {"conv_id": item["conv_id"], "turn": item["turn"], "line": line}
 
     return records.per_item(table(spark, sf, "conversations"), lines_of, "conv_id bigint, turn bigint, line string")
+
+
+@query(
+    "s09_file_scan",
+    """SELECT lang, source, COUNT(*) AS docs, CAST(SUM(len(string_split(text, chr(10)))) AS BIGINT) AS lines FROM documents GROUP BY 1, 2""",
+)
+def s09(spark, sf):
+    from traceframe.sources.code_files import scan_files
+
+    root = scratch(spark)
+    docs = table(spark, sf, "documents").select("lang", "source", F.concat("text", F.lit("\n\u0001")).alias("value"))
+    docs.write.option("maxRecordsPerFile", 200).partitionBy("lang", "source").text(f"{root}/files")
+    files = scan_files(spark, f"{root}/files", "*.txt")
+    part = lambda name: F.regexp_extract("path", f"{name}=([^/]*)/", 1).alias(name)
+    return files.groupBy(part("lang"), part("source")).agg(
+        F.sum(F.length(F.regexp_replace("text", "[^\u0001]", ""))).alias("docs"),
+        # every document ends in one more line break, the mark and the break of its row
+        F.sum(F.length(F.regexp_replace("text", "[^\n]", "")) - F.length(F.regexp_replace("text", "[^\u0001]", ""))).alias("lines"),
+    )
+
+
+@query("k07_fan_out", "SELECT url, event_id, exception_type FROM v_failures", ["v_failures"])
+def k07(spark, sf):
+    root = scratch(spark)
+
+    def broken(batch, batch_id):
+        raise RuntimeError("a failing sink must not stop the others")
+
+    rows = failures(spark, sf).select("url", "event_id", "exception_type")
+    sinks.fan_out({"first": sinks.folder(f"{root}/a"), "broken": broken, "last": sinks.folder(f"{root}/b")})(rows, 0)
+    return spark.read.parquet(f"{root}/b").select("url", "event_id", "exception_type")
+
+
+@query("h01_user_predicates", "SELECT event_id FROM v_failures WHERE response_status = 404 AND url LIKE '%svc1%'", ["v_failures"])
+def h01(spark, sf):
+    mine = [lambda df: df.where(F.col("response_status") == 404), lambda df: df.where(F.col("url").contains("svc1"))]
+    out = failures(spark, sf)
+    for step in mine:
+        out = out.transform(step)
+    return out.select("event_id")
+
+
+@query("h02_user_sink", "SELECT url, COUNT(*) AS n FROM v_failures GROUP BY 1", ["v_failures"])
+def h02(spark, sf):
+    stream, root = failure_stream(spark, sf)
+
+    def mine(batch, batch_id):
+        counted = batch.groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+        counted.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    return finish(spark, stream, mine, root).groupBy("url").agg(F.sum("n").alias("n"))
+
+
+@query(
+    "h03_user_patterns",
+    r"""SELECT stream_id, line_no, CASE WHEN line LIKE 'INFO click%' THEN 'python_click' ELSE 'python_view' END AS pattern, regexp_extract(line, '(\d+)$', 1) AS message
+    FROM v_lines WHERE line LIKE 'INFO click%' OR line LIKE 'INFO view%'""",
+    ["v_lines"],
+)
+def h03(spark, sf):
+    from traceframe.plans.q_logs import lines
+
+    mine = [
+        logs.LinePattern.named("python_click", r"^INFO (?P<exception_type>click) user (?P<message>\d+)$", ignore_case=False),
+        logs.LinePattern.named("python_view", r"^INFO (?P<exception_type>view) user (?P<message>\d+)$", ignore_case=False),
+    ]
+    found = logs.detect_lines(lines(spark, sf), mine).where(F.col("hit.pattern").isin("python_click", "python_view"))
+    return found.select("stream_id", "line_no", "hit.pattern", "hit.message")
+
+
+@query(
+    "h05_user_checks",
+    """SELECT path AS file, 'size' AS check_type, p_size <= 20 AS success, CASE WHEN p_size > 20 THEN 'LIMIT is ' || p_size ELSE '' END AS errors FROM v_source WHERE p_size % 2 = 0""",
+    ["v_source"],
+)
+def h05(spark, sf):
+    import re
+
+    from traceframe.operators import validate
+    from traceframe.session import spread
+
+    def size(path, text):
+        limit = int(re.search(r"LIMIT = (\d+)", text).group(1))
+        if limit % 2:
+            return None
+        return validate.outcome(limit <= 20, errors=[] if limit <= 20 else [f"LIMIT is {limit}"])
+
+    results = validate.run_checks(spread(views.view(spark, sf, "v_source")), {"size": size})
+    return results.select("file", "check_type", "success", F.array_join("errors", ",").alias("errors"))

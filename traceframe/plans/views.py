@@ -43,7 +43,7 @@ VIEWS: dict[str, str] = {
     # HTTP check attempts, four per check
     "v_checks": """
         SELECT CAST(floor(event_id / 4) AS BIGINT) AS check_id, event_id % 4 AS attempt, event_id, ts,
-          'https://svc' || CAST(CAST(floor(event_id / 4) AS BIGINT) % 10 AS STRING) || '.example.org/?brick=b'
+          'https://svc' || CAST(CAST(floor(event_id / 4) AS BIGINT) % 10 AS STRING) || '.example.org/?feed=b'
             || CAST(CAST(floor(event_id / 4) AS BIGINT) % 3 AS STRING) AS url,
           CAST(CASE event_type WHEN 'error' THEN 500 + event_id % 4 WHEN 'click' THEN 404 WHEN 'view' THEN 200
                WHEN 'purchase' THEN 302 END AS INT) AS status,
