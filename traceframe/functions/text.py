@@ -83,10 +83,12 @@ def calls_name(line: Column, name: str) -> Column:
     return F.rlike(line, F.lit(rf"\b{re.escape(name)}\s*\("))
 
 
-def cap_list(items: Column, keep: int, noun: str = "") -> Column:
-    """First ``keep`` entries, then ``... and N more`` when there are others."""
-    rest = F.concat(F.lit("... and "), (F.size(items) - keep).cast("string"), F.lit(f" more {noun}".rstrip()))
-    return F.when(F.size(items) > keep, F.concat(F.slice(items, 1, keep), F.array(rest))).otherwise(items)
+def cap_list(items: Column, keep: int, noun: str = "", total: Column | None = None) -> Column:
+    """First ``keep`` entries, then ``... and N more`` when there are others; ``total`` is the full count
+    when ``items`` was cut before."""
+    count = F.size(items) if total is None else total
+    rest = F.concat(F.lit("... and "), (count - keep).cast("string"), F.lit(f" more {noun}".rstrip()))
+    return F.when(count > keep, F.concat(F.slice(items, 1, keep), F.array(rest))).otherwise(items)
 
 
 def hyperlink(prefix: str, identifier: Column) -> Column:

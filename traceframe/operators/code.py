@@ -11,7 +11,7 @@ import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceframe.functions.text import is_constant, strip, visibility
@@ -345,8 +345,6 @@ def top_complex(funcs: DataFrame, keep: int = 10, name: Column | None = None) ->
 
 def first_per_file(rows: DataFrame, keep: int, file: str = "file", order: tuple[str, ...] = ("line_start", "name")) -> DataFrame:
     """First ``keep`` rows of each file. Spark cuts to ``keep`` per file in every task before the shuffle."""
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy(file).orderBy(*order))
     return rows.withColumn("__n", place).where(F.col("__n") <= keep).drop("__n")
 
@@ -363,6 +361,12 @@ def dependencies(imported: DataFrame) -> DataFrame:
     )
 
 
+def most_dependent(imported: DataFrame, keep: int = 5) -> DataFrame:
+    """Files with the most imports."""
+    counted = imported.groupBy("file").agg(F.count(F.lit(1)).alias("n_modules"))
+    return counted.orderBy(F.desc("n_modules"), "file").limit(keep)
+
+
 def module_counts(imported: DataFrame, used: DataFrame) -> DataFrame:
     """Imports and uses per module in one aggregation over both inputs."""
     both = imported.select("module", F.lit(1).alias("i"), F.lit(0).alias("u")).unionByName(

@@ -151,6 +151,21 @@ def ordered_scan(
     )
 
 
+def join_one_per_key(big: DataFrame, small: DataFrame, keys: Sequence[str], by: str, salts: int = 32) -> DataFrame:
+    """Left join with a frame of at most one row per key, where one key may hold most rows of ``big``.
+
+    The small side is repeated once per salt and the big side is spread by a hash of ``by``, so a
+    busy key is joined by ``salts`` tasks. It does not lean on runtime skew handling, which is off inside
+    streaming batches.
+    """
+    left, stand_ins = _null_safe(big, keys)
+    right, _ = _null_safe(small, keys)
+    extra = [c for c in small.columns if c not in keys]
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("__salt")
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts).cast("long")))
+    return salted.join(right.select(*stand_ins, *extra, copies), [*stand_ins, "__salt"], "left").select(*big.columns, *extra)
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], name: str) -> DataFrame:
     """Dense 1-based position per key."""
     return ordered_scan(df, keys, chunk, order, sums={name: F.lit(1).cast("long")})

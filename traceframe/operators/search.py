@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceframe.functions.globs import matches_glob
@@ -231,19 +231,22 @@ def calls_from(files: DataFrame, function: str, path: str = "path", text: str =
     ).where(~F.col("callee").isin(*NOT_CALLS))
 
 
-def call_occurrences(calls: DataFrame, keep: int = 3, file: str = "path", line: str = "line_no") -> DataFrame:
-    """Calls per function name with the first ``keep`` places.
+def first_values(rows: DataFrame, key: str, order: Sequence[str], value: Column, keep: int) -> DataFrame:
+    """Per key: how many rows (``n``) and the first ``keep`` values in ``order`` (``values``).
 
-    Places are cut per task before they meet, so a name called everywhere does not gather its calls.
+    Only ``keep`` rows per key and task leave the map side (Spark's per-group limit); the count is a
+    partial aggregate. No key's rows are gathered.
     """
-    salted = calls.withColumn("__salt", F.pmod(F.xxhash64(file, line), F.lit(64)))
-    first = lambda values: F.slice(F.array_sort(values), 1, keep)
-    part = salted.groupBy("callee", "__salt").agg(
-        F.count(F.lit(1)).alias("n"), first(F.collect_list(F.struct(file, line))).alias("places")
-    )
-    return part.groupBy("callee").agg(
-        F.sum("n").alias("n"), first(F.flatten(F.collect_list("places"))).alias("places")
-    )
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    head = rows.select(key, *order, value.alias("__value")).withColumn("__place", place).where(F.col("__place") <= keep)
+    first = head.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__place", "__value"))).alias("__first"))
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(first, key).select(key, "n", F.transform("__first", lambda x: x["__value"]).alias("values"))
+
+
+def call_occurrences(calls: DataFrame, keep: int = 3, file: str = "path", line: str = "line_no") -> DataFrame:
+    """Calls per function name with the first ``keep`` places."""
+    return first_values(calls, "callee", [file, line], F.struct(file, line), keep).withColumnRenamed("values", "places")
 
 
 def capped_lines(hits: DataFrame, n: int, path: str = "path", line: str = "line_no") -> DataFrame:

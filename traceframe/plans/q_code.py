@@ -409,6 +409,15 @@ def t07(spark, sf):
     return code.symbol_counts(view(spark, sf, "v_calls").withColumnRenamed("callee", "symbol"), keep=5)
 
 
+@query(
+    "t07_most_dependent",
+    f"WITH {IMPORTS} SELECT file, COUNT(*) AS n_modules FROM imps GROUP BY 1 ORDER BY n_modules DESC, file LIMIT 5",
+    ["v_source"],
+)
+def t07_dependent(spark, sf):
+    return code.most_dependent(code.imports(facts(spark, sf)))
+
+
 @query(
     "t07_first_errors",
     "SELECT file, line FROM v_diag WHERE severity = 'error' ORDER BY file, line LIMIT 10",

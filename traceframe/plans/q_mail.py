@@ -257,7 +257,7 @@ _BLOCK_RX = "(?i)</?(" + "|".join(html.BLOCKS) + ")([ \\t\\n/][^>]*)?>"
     "x05_html_text",
     f"""WITH s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
     b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '(?i)<!DOCTYPE[^>]*>', '', 'g'), '{_BLOCK_RX}', chr(10), 'g'), '<[^>]+>', '', 'g') AS h FROM s),
-    e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&') AS h FROM b),
+    e AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;?', '&', 'g') AS h FROM b),
     l AS (SELECT page_id, list_filter(list_transform(string_split(h, chr(10)), lambda x: trim(regexp_replace(x, '[\\s\\x{{00a0}}]+', ' ', 'g'))), lambda x: x <> '') AS ls FROM e)
     SELECT page_id, array_to_string(ls, chr(10)) AS txt FROM l""",
 )

@@ -1,4 +1,4 @@
-"""Streaming queries. The tables are replayed as three consecutive files, one micro-batch each."""
+"""Streaming queries. The tables are replayed as two or three consecutive files, one micro-batch each."""
 
 from __future__ import annotations
 
@@ -29,9 +29,9 @@ def replay(spark, df, order: str, slices: int = 3):
     return stream, root
 
 
-def events_stream(spark, sf):
+def events_stream(spark, sf, slices=3):
     events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return replay(spark, events, "event_id")
+    return replay(spark, events, "event_id", slices)
 
 
 def failure_stream(spark, sf):
@@ -56,7 +56,7 @@ def as_lines(stream):
     ["v_lines"],
 )
 def r01(spark, sf):
-    stream, root = events_stream(spark, sf)
+    stream, root = events_stream(spark, sf, 2)
     run = live.live_exceptions(sinks.folder(f"{root}/out"), Carry(f"{root}/carry"), context=20)
     out = finish(spark, as_lines(stream), run, root)
     return out.select(

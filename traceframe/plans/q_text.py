@@ -461,10 +461,9 @@ def x19(spark, sf):
     ELSE string_agg(role, ',' ORDER BY turn) END AS roles FROM conversations GROUP BY conv_id""",
 )
 def x21(spark, sf):
-    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda t: t["role"]).alias("roles")
-    )
-    return turns.select("conv_id", F.array_join(text.cap_list(F.col("roles"), 3, "turns"), ",").alias("roles"))
+    first = search.first_values(table(spark, sf, "conversations"), "conv_id", ["turn"], F.col("role"), 3)
+    capped = text.cap_list(F.col("values"), 3, "turns", F.col("n"))
+    return first.select("conv_id", F.array_join(capped, ",").alias("roles"))
 
 
 @query(

@@ -60,8 +60,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin over all cores when the input has fewer splits than cores, else unchanged.
 
-    Meant in front of work bound by CPU (parsing, many regexes) on small or unsplittable input; on large
-    input it adds nothing.
+    Meant right behind a source, in front of work bound by CPU (parsing, many regexes), on small or
+    unsplittable input; on large input it adds nothing.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if input_splits(df) < cores else df

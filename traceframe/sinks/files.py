@@ -86,8 +86,9 @@ def with_day(events: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def write_by_day(events: DataFrame, path: str, ts: str = "ts") -> None:
-    """Append JSON lines under ``day=yyyyMMdd`` folders; no shuffle, so a busy day is spread over tasks."""
-    with_day(events, ts).write.mode("append").partitionBy("day").json(path)
+    """Append JSON lines with the last five context lines under ``day=yyyyMMdd`` folders; no shuffle, so a
+    busy day is spread over tasks."""
+    export_ready(with_day(events, ts), ts, keep=5).write.mode("append").partitionBy("day").json(path)
 
 
 def per_url_totals(events: DataFrame, url: str = "url") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from traceframe.operators import logs
-from traceframe.operators.ordered import MICROS, context_before, number_chunk, number_rows, time_chunks, trailing_counts
+from traceframe.operators.ordered import MICROS, context_before, join_one_per_key, number_chunk, number_rows, time_chunks, trailing_counts
 from traceframe.sinks.streaming import Sink
 from traceframe.streaming.carry import Carry
 
@@ -44,7 +44,7 @@ def live_exceptions(
         else:
             # one row per stream: how many lines and events came before this batch
             totals = old.groupBy(key).agg(F.max("__no").alias("__base"), F.max("__found").alias("__found"))
-            placed = fresh.join(totals, key, "left").withColumn("__no", F.col("__no") + F.coalesce("__base", F.lit(0)))
+            placed = join_one_per_key(fresh, totals, [key], order).withColumn("__no", F.col("__no") + F.coalesce("__base", F.lit(0)))
             placed = placed.withColumn("__found", F.coalesce("__found", F.lit(0).cast("long"))).drop("__base")
             again = old.select(*[c for c in placed.columns], F.lit(False).alias("__new"))
             numbered = placed.withColumn("__new", F.lit(True)).unionByName(again)
@@ -59,8 +59,7 @@ def live_exceptions(
             repeats = marked.groupBy(key).agg(F.sum(old_hits).alias("__repeat"), F.max("__found").alias("__before"))
             events = logs.build_events(marked, key, order)
             news = numbered.where("__new").select(key, order, F.col("__no").alias("__line"))
-            placed_events = events.join(news, [key, order]).join(repeats, key)
-            placed_events = placed_events.withColumn(
+            placed_events = join_one_per_key(events.join(news, [key, order]), repeats, [key], order).withColumn(
                 "total_exceptions_found", F.col("total_exceptions_found") - F.col("__repeat") + F.col("__before")
             ).drop("__repeat", "__before")
             stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
@@ -70,7 +69,7 @@ def live_exceptions(
             sink(out.withColumnRenamed("__line", "line_number"), batch_id)
 
             ends = marked.groupBy(key).agg(F.max("__no").alias("__last"), (F.max("__found") + F.sum(counted)).alias("__total"))
-            kept = marked.join(ends, key).where(F.col("trace_open") | (F.col("__no") > F.col("__last") - F.greatest(F.lit(context - 1), F.lit(1))))
+            kept = join_one_per_key(marked, ends, [key], order).where(F.col("trace_open") | (F.col("__no") > F.col("__last") - F.greatest(F.lit(context - 1), F.lit(1))))
             remembered = kept.select(key, order, "ts", "line", "__no", F.col("__total").alias("__found"))
             if old is not None:
                 # streams silent in this batch are part of ``marked`` through their carried lines
@@ -120,7 +119,7 @@ def live_count_alerts(sink: Sink, carry: Carry, keys: Sequence[str], ts: str, ti
             placed = number_rows(time_chunks(batch, keys, ts), keys, "__chunk", [ts, tie], "n_event").drop("__chunk")
             counts = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
             if old is not None:
-                placed = placed.join(old, list(keys), "left").withColumn("n_event", F.col("n_event") + F.coalesce("__n", F.lit(0))).drop("__n")
+                placed = join_one_per_key(placed, old, keys, tie).withColumn("n_event", F.col("n_event") + F.coalesce("__n", F.lit(0))).drop("__n")
                 counts = old.unionByName(counts).groupBy(*keys).agg(F.sum("__n").alias("__n"))
             sink(placed.where(F.col("n_event") % every == 0), batch_id)
             carry.save(counts, batch_id)
