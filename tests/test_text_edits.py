@@ -83,6 +83,7 @@ def test_html(spark):
     rows = html.table_rows(pages, "id")
     named = [(r.Name, r.ID) for r in html.named_cells(rows, ["ID", "Name"]).orderBy("id", "row_no").collect()]
     assert named[0] == ("one & two", "A1") and named[2] == ("b", "B2")
+    assert html.plain_text("a<![odd[x]]>b <p>c") is not None and html.plain_text(None) is None
     assert html.plain_text("<h1>A&amp;B</h1><script>var t='</p>';</script><p>c <b>d</b>\n e<br>f") == "A&B\nc d\ne\nf"
 
 

@@ -22,6 +22,19 @@ BLOCKS = (
 HIDDEN = ("script", "style")
 
 
+def _feed(make, html: str):
+    """Parse a document. The parser gives up on unknown ``<![`` sections; those are then read as text."""
+    parser = make()
+    try:
+        parser.feed(html)
+        parser.close()
+    except AssertionError:
+        parser = make()
+        parser.feed(html.replace("<![", "&lt;!["))
+        parser.close()
+    return parser
+
+
 class _Text(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -48,9 +61,7 @@ class _Text(HTMLParser):
 def plain_text(html: str | None) -> str | None:
     if html is None:
         return None
-    parser = _Text()
-    parser.feed(html)
-    parser.close()
+    parser = _feed(_Text, html)
     lines = (" ".join(line.split()) for line in "".join(parser.parts).split("\n"))
     return "\n".join(line for line in lines if line)
 
@@ -111,8 +122,7 @@ def _table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for key, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            parser = _Rows()
-            parser.feed(html or "")
+            parser = _feed(_Rows, html or "")
             header = next((cells for _, head, cells in parser.rows if head), [])
             body = [r for r in parser.rows if not r[1]]
             rows += [{"key": key, "row_no": i, "row_class": c, "header": header, "cells": cells} for i, (c, _, cells) in enumerate(body, 1)]

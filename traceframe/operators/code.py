@@ -8,6 +8,7 @@ lists, resolution, counts and joins are relational operations over those facts.
 from __future__ import annotations
 
 import ast
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -173,6 +174,7 @@ def _facts_of(path: str, text: str) -> list[dict]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    warnings.simplefilter("ignore", SyntaxWarning)  # about the analysed sources, not this code
     rows: list[dict] = []
     for batch in batches:
         for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
