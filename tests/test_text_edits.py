@@ -59,6 +59,12 @@ def test_containing_function_is_the_innermost(spark):
     assert shown == {1: (98, 122), 2: (1, 302), 3: (291, 311), 4: (1, 11)}
 
 
+def test_partial_paths(spark):
+    files = spark.createDataFrame([("a.py",), ("x/a.py",), ("x/b.py",)], "path string")
+    found = lambda **k: {r.request: r.file for r in search.unique_paths(files, ["a.py", "b", "x/", "none"], **k).collect()}
+    assert found() == {"a.py": "a.py", "b": "x/b.py"} and found(exact_first=False) == {"b": "x/b.py"}
+
+
 def test_preview_marks_the_line(spark):
     files = spark.createDataFrame([("a", "\n".join(f"l{i}" for i in range(1, 8)))], "path string, text string")
     asked = spark.createDataFrame([("a", 5, 99, 6)], "path string, first int, last int, line int")

@@ -90,20 +90,23 @@ def lookup_function(functions: DataFrame, name: str, column: str = "full_name",
     return better.unionByName(spare.where(~better.exists()))
 
 
-def unique_paths(files: DataFrame, requests: Sequence[str], path: str = "path") -> DataFrame:
-    """For each partial path the one file that contains it; none when several do.
+def unique_paths(files: DataFrame, requests: Sequence[str], path: str = "path", exact_first: bool = True) -> DataFrame:
+    """For each partial path the one file that contains it; none when several do. A request that is
+    itself a path names that file, unless ``exact_first`` is off.
 
     Requests come from the caller, so they travel as a literal array and files are read once, with
     a per-request count that combines before the shuffle.
     """
     asked = F.filter(F.array(*[F.lit(r) for r in requests]), lambda r: F.contains(F.col(path), r))
     hits = files.select(F.explode(asked).alias("request"), F.col(path).alias("file"))
-    return (
-        hits.groupBy("request")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("file").alias("file"))
-        .where(F.col("n") == 1)
-        .select("request", "file")
+    counted = hits.groupBy("request").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max("file").alias("file"),
+        F.max(F.when(F.col("file") == F.col("request"), F.col("file"))).alias("exact"),
     )
+    only = F.when(F.col("n") == 1, F.col("file"))
+    found = F.coalesce("exact", only) if exact_first else only
+    return counted.select("request", found.alias("file")).where(F.col("file").isNotNull())
 
 
 def containing_function(places: DataFrame, functions: DataFrame, key: Sequence[str], file: str = "file", line: str = "line") -> DataFrame:

@@ -34,8 +34,8 @@ def events_stream(spark, sf, slices=3):
     return replay(spark, events, "event_id", slices)
 
 
-def failure_stream(spark, sf):
-    return replay(spark, failures(spark, sf), "event_id")
+def failure_stream(spark, sf, slices=2):
+    return replay(spark, failures(spark, sf), "event_id", slices)
 
 
 def finish(spark, stream, run, root, mode="append"):
@@ -98,7 +98,7 @@ def r03(spark, sf):
     ["v_failures"],
 )
 def r04(spark, sf):
-    stream, root = failure_stream(spark, sf)
+    stream, root = failure_stream(spark, sf, 3)
     run = live.live_count_alerts(sinks.folder(f"{root}/out"), Carry(f"{root}/carry"), ["url"], "ts", "event_id", 3)
     return finish(spark, stream, run, root).select("url", "event_id", "n_event")
 
@@ -140,7 +140,7 @@ def r07(spark, sf):
     "SELECT epoch_us(date_trunc('day', ts)) AS day_us, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2",
 )
 def r08(spark, sf):
-    stream, root = events_stream(spark, sf)
+    stream, root = events_stream(spark, sf, 2)
     counted = live.windowed_counts(stream, ["event_type"], "ts", "1 day")
     out = finish(spark, counted, sinks.folder(f"{root}/out"), root, mode="complete")
     newest = out.agg(F.max("batch")).first()[0]
