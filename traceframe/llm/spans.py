@@ -52,6 +52,7 @@ class Texts:
         self.data = _LOWER[data] if lower else data
         self.bounds = bounds.astype(np.int64)
         self.n = len(bounds) - 1
+        self._total: np.ndarray | None = None
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First byte and end of each word, and the number of its text."""
@@ -71,8 +72,10 @@ class Texts:
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         power, inverse = _power_tables(len(self.data))
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + _U(1)) * power[: len(self.data)], out=total[1:])
+        if self._total is None:
+            self._total = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum((self.data.astype(np.uint64) + _U(1)) * power[: len(self.data)], out=self._total[1:])
+        total = self._total
         return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
