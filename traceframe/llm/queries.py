@@ -1,6 +1,6 @@
 """Importing this module registers the queries of the package."""
 
-from traceframe.llm import jaccard_join, quality_rules  # noqa: F401
+from traceframe.llm import jaccard_join, language_id, packing, quality_model, quality_rules, sentencepiece_codec, toxicity  # noqa: F401
 from traceframe.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
