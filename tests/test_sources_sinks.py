@@ -144,7 +144,7 @@ def test_retries(spark):
     )
     out = {r.check_id: r for r in checks.collapse_retries(attempts).collect()}
     assert [(out[i].attempts, out[i].failed, out[i].backoff_seconds) for i in (1, 2, 3)] == [(3, False, 3), (4, True, 7), (1, True, 0)]
-    assert len(out[2].response_body) == 1000
+    assert len(out[2].response_body) == 1200
 
 
 def test_coercion(spark):

@@ -164,7 +164,7 @@ def test_graph(spark):
     assert {r.name: (r.calls, r.called_by) for r in graph.degrees(e).collect()}["a"] == (2, 1)
     known = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
     assert {r.callee for r in graph.resolve_callees(e, known).where("NOT resolved").collect()} == {"d"}
-    assert {(r.caller, r.callee) for r in graph.induced_edges(e, graph.top_by_degree(e, 2), 2).collect()} == {("a", "b")}
+    assert {(r.caller, r.callee) for r in graph.induced_edges(e, graph.top_by_degree(e, 2)).collect()} == {("a", "b")}
 
 
 def test_hotspots(spark):
@@ -198,7 +198,7 @@ def test_mail(spark):
     assert ids(mail.newest_per_conversation(df)) == ["2", "3", "4"] and ids(df.where(mail.has_sender())) == ["1", "2", "4"]
     assert ids(mail.involving(df, "A@E")) == ["1", "2", "3", "4"]
     assert ids(df.where(mail.between_days(F.col("receivedDateTime"), "2024-01-01", "2024-01-02"))) == ["1", "2", "4"]
-    assert ids(df.where(mail.search({"recipients": "b@"}))) == ["1", "2"] and ids(df.where(mail.search({"from": "x=y"}))) == ["1", "2", "3", "4"]
+    assert ids(df.where(mail.search({"recipients": "b@"}))) == ["1", "2"] and ids(df.where(mail.search({"from": "x=y"}))) == []
     assert [r.id for r in mail.newest_first(df, 2).collect()] == ["3", "2"]
     body = df.limit(1).withColumn("body", F.expr("named_struct('contentType', 'html', 'content', '<p>hi</p>')"))
     assert mail.with_body_text(body).first().bodyText == "hi"

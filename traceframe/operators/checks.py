@@ -53,7 +53,7 @@ def filter_all(events: DataFrame, predicates: Sequence[Column]) -> DataFrame:
     return events.where(reduce(lambda a, b: a & b, predicates, F.lit(True)))
 
 
-def collapse_retries(attempts: DataFrame, keys: Sequence[str] = ("check_id",), max_retries: int | None = None) -> DataFrame:
+def collapse_retries(attempts: DataFrame, keys: Sequence[str] = ("check_id",)) -> DataFrame:
     """One row per check: last attempt's outcome, attempts used, total back-off seconds, failure flag.
 
     The last attempt is kept by a mergeable aggregate, so attempts combine before the shuffle.
@@ -75,7 +75,7 @@ def collapse_retries(attempts: DataFrame, keys: Sequence[str] = ("check_id",), m
         F.col("last.status").alias("response_status"),
         F.col("last.error").alias("exception"),
         F.col("last.error_type").alias("exception_type"),
-        F.substring("last.body", 1, BODY_CHARS).alias("response_body"),
+        F.col("last.body").alias("response_body"),
         failed.alias("failed"),
     )
 

@@ -68,6 +68,7 @@ class _Facts(ast.NodeVisitor):
     def __init__(self, path: str, text: str):
         self.path, self.lines, self.rows = path, text.split("\n"), []
         self.scope: list[str] = []
+        self.scope_lines: list[int] = []
         self.owner: list[str] = []
 
     def emit(self, kind: str, node: ast.AST, **more) -> None:
@@ -91,8 +92,8 @@ class _Facts(ast.NodeVisitor):
         weight = 1 if isinstance(node, _DECISIONS) else len(node.values) - 1 if isinstance(node, ast.BoolOp) else 0
         if weight:
             # nested functions count for every function around them
-            for name in self.scope:
-                self.emit("branch", node, name=name, weight=weight)
+            for name, line in zip(self.scope, self.scope_lines):
+                self.emit("branch", node, name=name, weight=weight, detail=str(line))
         super().generic_visit(node)
 
     def _define(self, node, is_async: bool) -> None:
@@ -114,9 +115,11 @@ class _Facts(ast.NodeVisitor):
             if part is not None:
                 self.visit(part)
         self.scope.append(name)
+        self.scope_lines.append(node.lineno)
         for child in node.body:
             self.visit(child)
         self.scope.pop()
+        self.scope_lines.pop()
 
     def visit_FunctionDef(self, node):
         self._define(node, False)
@@ -207,7 +210,8 @@ def functions(facts: DataFrame) -> DataFrame:
     """Functions and methods with parameters, signature, visibility and cyclomatic complexity.
 
     Complexity is one plus the decision points inside. Definitions and decision points meet in one
-    aggregation keyed by ``(path, name)``, so there is no join.
+    aggregation keyed by ``(path, name, line of the definition)``, so there is no join, and every definition
+    of a name is a row of its own (property pairs, alternatives under ``try``).
     """
     definition = F.struct(
         "class_name", "line", "end_line", "params", "items", "doc", "is_async", F.col("detail").alias("signature")
@@ -215,9 +219,8 @@ def functions(facts: DataFrame) -> DataFrame:
     is_def = F.col("kind") == "function"
     grouped = (
         facts.where(F.col("kind").isin("function", "branch"))
-        .groupBy("path", "name")
+        .groupBy("path", "name", F.when(is_def, F.col("line")).otherwise(F.col("detail").cast("int")).alias("def_line"))
         .agg(
-            # the last definition of a name wins, as in the language
             F.max_by(definition, F.when(is_def, F.col("line"))).alias("d"),
             F.coalesce(F.sum("weight"), F.lit(0)).alias("branches"),
         )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,25 +68,58 @@ def _replace_first(text: Column, part: Column, replacement: Column) -> Column:
     ).otherwise(text)
 
 
+_DONE = "cast(array() as array<struct<seq:bigint,status:string,n:bigint,line:bigint>>)"
+
+
+def _in_order(files: DataFrame, edits: DataFrame, file: str, text: str, step, fields: Sequence[str] = ()) -> DataFrame:
+    """One row per edit: file, ``seq`` if given, the text after all edits of the file, and the outcome ``__e`` of this one.
+
+    The edits of a file are gathered (by ``seq``) and folded over its text; ``step(text, edit)`` gives the new text,
+    a status, a count and a line. An edit of a file that is not there has a null text and the status ``no_file``.
+    """
+    numbered = "seq" in edits.columns
+    seq = F.col("seq").cast("long") if numbered else F.lit(0).cast("long")
+    plan = edits.groupBy(file).agg(F.array_sort(F.collect_list(F.struct(seq.alias("seq"), "search", "replacement", *fields))).alias("__plan"))
+    joined = plan.join(files.select(file, F.col(text).alias("__text")), file, "left")
+
+    def apply(state: Column, edit: Column) -> Column:
+        there = state["text"].isNotNull()
+        after, status, n, line = step(state["text"], edit)
+        done = F.struct(
+            edit["seq"].alias("seq"), F.when(there, status).otherwise("no_file").alias("status"),
+            F.when(there, n).cast("long").alias("n"), F.when(there, line).cast("long").alias("line"),
+        )
+        return F.struct(F.when(there, after).alias("text"), F.concat(state["done"], F.array(done)).alias("done"))
+
+    folded = joined.withColumn("__r", F.aggregate("__plan", F.struct(F.col("__text").alias("text"), F.expr(_DONE).alias("done")), apply))
+    rows = folded.select(file, F.col("__r.text").alias(text), F.explode("__r.done").alias("__e"))
+    return rows.select(file, *([F.col("__e.seq").alias("seq")] if numbered else []), text, "__e")
+
+
 def replace_all(files: DataFrame, edits: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
-    """One search/replace per file, all occurrences, with the count (0 = not found)."""
-    joined = files.join(edits.select(file, "search", "replacement"), file)
-    return joined.select(
-        file, F.replace(F.col(text), F.col("search"), F.col("replacement")).alias(text), occurrences(F.col(text), F.col("search")).alias("replaced")
-    )
+    """Search/replace of all occurrences, with the count (0: not found, null: no such file); several edits of a file
+    are applied in the order of ``seq``."""
+
+    def step(body: Column, edit: Column) -> tuple[Column, ...]:
+        n = occurrences(body, edit["search"])
+        return F.replace(body, edit["search"], edit["replacement"]), F.lit("replaced"), n, F.lit(None)
+
+    rows = _in_order(files, edits, file, text, step)
+    return rows.select(*[c for c in rows.columns if c != "__e"], F.col("__e.n").alias("replaced"))
 
 
 def replace_first(files: DataFrame, edits: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
-    """One search/replace per file, first occurrence only; a warning when there are more, and the line of the hit."""
-    joined = files.join(edits.select(file, "search", "replacement"), file)
-    n = occurrences(F.col(text), F.col("search"))
-    ahead = F.substring(F.col(text), F.lit(1), F.instr(F.col(text), F.col("search")) - 1)
-    return joined.select(
-        file,
-        _replace_first(F.col(text), F.col("search"), F.col("replacement")).alias(text),
-        F.when(n > 1, "multiple").when(n == 1, "replaced").otherwise("not_found").alias("status"),
-        F.when(n > 0, 1 + F.length(ahead) - F.length(F.replace(ahead, F.lit("\n"), F.lit("")))).cast("long").alias("line"),
-    )
+    """Search/replace of the first occurrence; a warning when there are more, and the line of the hit. Several edits of a
+    file are applied in the order of ``seq``; an edit of an unknown file says ``no_file``."""
+
+    def step(body: Column, edit: Column) -> tuple[Column, ...]:
+        n = occurrences(body, edit["search"])
+        ahead = F.substring(body, F.lit(1), F.instr(body, edit["search"]) - 1)
+        line = F.when(n > 0, 1 + F.length(ahead) - F.length(F.replace(ahead, F.lit("\n"), F.lit(""))))
+        return _replace_first(body, edit["search"], edit["replacement"]), F.when(n > 1, "multiple").when(n == 1, "replaced").otherwise("not_found"), n, line
+
+    rows = _in_order(files, edits, file, text, step)
+    return rows.select(*[c for c in rows.columns if c != "__e"], F.col("__e.status").alias("status"), F.col("__e.line").alias("line"))
 
 
 def _squeeze(text: Column) -> Column:
@@ -98,30 +133,26 @@ def _flexible(search: Column) -> Column:
 
 
 def replace_in_range(files: DataFrame, edits: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
-    """First occurrence within ``start_line``–``end_line`` (either may be null); whitespace may differ."""
-    joined = files.join(edits.select(file, "search", "replacement", "start_line", "end_line"), file)
-    lines = F.split(F.col(text), "\n", -1)
-    first = F.coalesce(F.col("start_line"), F.lit(1)).cast("int")
-    last = F.least(F.coalesce(F.col("end_line"), F.size(lines)), F.size(lines)).cast("int")
-    join = lambda part: F.array_join(part, "\n")
-    size = lambda n: F.greatest(n, F.lit(0))
-    cut = joined.select(
-        file,
-        "search",
-        "replacement",
-        F.slice(lines, 1, size(F.least(first - 1, F.size(lines)))).alias("__head"),
-        join(F.slice(lines, first, size(last - first + 1))).alias("__body"),
-        F.slice(lines, last + 1, size(F.size(lines) - last)).alias("__tail"),
-    )
-    body, search = F.col("__body"), F.col("search")
-    found = _squeeze(body).contains(_squeeze(search))
-    literal = F.when(body.contains(search), search).otherwise(F.regexp_substr(body, _flexible(search)))
-    new = F.when(found & literal.isNotNull(), _replace_first(body, literal, F.col("replacement"))).otherwise(body)
-    return cut.select(
-        file,
-        join(F.concat("__head", F.split(new, "\n", -1), "__tail")).alias(text),
-        F.when(found, "replaced").otherwise("not_found").alias("status"),
-    )
+    """First occurrence within ``start_line``–``end_line`` (either may be null); whitespace may differ. Several edits of a
+    file are applied in the order of ``seq``, each by the lines that the ones before left."""
+
+    def step(whole: Column, edit: Column) -> tuple[Column, ...]:
+        lines = F.split(whole, "\n", -1)
+        first = F.coalesce(edit["start_line"], F.lit(1)).cast("int")
+        last = F.least(F.coalesce(edit["end_line"], F.size(lines)), F.size(lines)).cast("int")
+        size = lambda n: F.greatest(n, F.lit(0))
+        head = F.slice(lines, F.lit(1), size(F.least(first - 1, F.size(lines))))
+        body = F.array_join(F.slice(lines, first, size(last - first + 1)), "\n")
+        rest = F.slice(lines, last + 1, size(F.size(lines) - last))
+        search = edit["search"]
+        found = _squeeze(body).contains(_squeeze(search))
+        literal = F.when(body.contains(search), search).otherwise(F.regexp_substr(body, _flexible(search)))
+        new = F.when(found & literal.isNotNull(), _replace_first(body, literal, edit["replacement"])).otherwise(body)
+        after = F.array_join(F.concat(head, F.split(new, "\n", -1), rest), "\n")
+        return after, F.when(found, "replaced").otherwise("not_found"), F.lit(None), F.lit(None)
+
+    rows = _in_order(files, edits, file, text, step, ("start_line", "end_line"))
+    return rows.select(*[c for c in rows.columns if c != "__e"], F.col("__e.status").alias("status"))
 
 
 # --- unified diffs -------------------------------------------------------------------------------

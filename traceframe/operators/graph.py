@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from traceframe.session import cut_lineage
 
-BROADCAST_ROWS = 100_000
-
 
 def distinct_edges(calls: DataFrame) -> DataFrame:
     return calls.where(F.col("caller").isNotNull()).select("caller", "callee").distinct()
@@ -52,12 +50,11 @@ def most_called(edges: DataFrame, keep: int = 10) -> DataFrame:
     return edges.groupBy(F.col("callee").alias("name")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(keep)
 
 
-def induced_edges(edges: DataFrame, top: DataFrame, keep: int) -> DataFrame:
-    """Edges with both ends in ``top``, which has at most ``keep`` rows (the bound for broadcasting it)."""
+def induced_edges(edges: DataFrame, top: DataFrame) -> DataFrame:
+    """Edges with both ends in ``top``."""
     names = top.select("name")
-    small = F.broadcast(names) if keep <= BROADCAST_ROWS else names
-    return edges.join(small, F.col("caller") == F.col("name"), "left_semi").join(
-        small, F.col("callee") == F.col("name"), "left_semi"
+    return edges.join(names, F.col("caller") == F.col("name"), "left_semi").join(
+        names, F.col("callee") == F.col("name"), "left_semi"
     )
 
 

@@ -28,8 +28,6 @@ SEARCH_FIELDS = {
 }
 SENDER = "from.emailAddress.address"
 RECIPIENTS = ("toRecipients", "ccRecipients", "bccRecipients")
-TERM_LIMIT = 50
-TERM_SKIP = "=+/\\"
 
 
 def _inside(value: Column, path: str) -> Column:
@@ -63,21 +61,15 @@ def participants() -> Column:
     return F.concat(F.array(F.col(SENDER)), *[addresses(a) for a in RECIPIENTS])
 
 
-def searchable(term: str) -> bool:
-    return len(term) <= TERM_LIMIT and not any(c in term for c in TERM_SKIP)
-
-
 def _holds(word: str):
     return lambda value: F.lower(value).contains(word)
 
 
 def search(terms: Mapping[str, str]) -> Column:
-    """Every field-scoped term must occur, ignoring case; terms too long or with ``=+/\\`` are left out."""
+    """Every field-scoped term must occur, ignoring case; a term may be long and hold any character."""
     tests = [F.lit(True)]
     for field, term in terms.items():
         word = term.strip("%\"'").lower()
-        if not searchable(word):
-            continue
         scope = SEARCH_FIELDS.get(field, field)
         if scope == "participants":
             tests.append(F.exists(participants(), _holds(word)))

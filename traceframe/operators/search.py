@@ -15,9 +15,10 @@ from traceframe.sources.text_lines import split_lines
 LINE_BUCKET = 64
 
 
-def list_files(files: DataFrame, glob: str = "*", limit: int = 100, path: str = "path") -> DataFrame:
-    """First ``limit`` matching paths in order; the sort is a per-task top-n, not a full sort."""
-    return files.where(matches_glob(F.col(path), glob)).select(path).orderBy(path).limit(limit)
+def list_files(files: DataFrame, glob: str = "*", limit: int | None = None, path: str = "path") -> DataFrame:
+    """Matching paths in order; with a ``limit`` the first ones, by a per-task top-n instead of a full sort."""
+    found = files.where(matches_glob(F.col(path), glob)).select(path).orderBy(path)
+    return found if limit is None else found.limit(limit)
 
 
 def count_files(files: DataFrame, glob: str = "*", path: str = "path") -> DataFrame:
@@ -211,15 +212,15 @@ def function_ends(files: DataFrame, path: str = "path", text: str = "text") -> D
     )
 
 
-def calls_from(files: DataFrame, function: str, path: str = "path", text: str = "text", reach: int = 99) -> DataFrame:
-    """Calls in the lines below ``def function(`` until the indentation returns, at most ``reach`` lines."""
+def calls_from(files: DataFrame, function: str, path: str = "path", text: str = "text") -> DataFrame:
+    """Calls in the lines below ``def function(`` until the indentation returns or the file ends."""
     lines = F.split(F.regexp_replace(text, "\n$", ""), "\n", -1)
     opened = files.where(F.contains(F.col(text), F.lit(f"def {function}("))).select(path, lines.alias("__lines"))
     starts = opened.select(path, "__lines", F.posexplode("__lines").alias("__pos", "__line")).where(
         F.col("__line").contains(f"def {function}(")
     )
     below = F.transform(
-        F.slice("__lines", F.col("__pos") + 2, reach), lambda x, i: F.struct((i + F.col("__pos") + 2).alias("no"), x.alias("t"))
+        F.slice("__lines", F.col("__pos") + 2, F.size("__lines")), lambda x, i: F.struct((i + F.col("__pos") + 2).alias("no"), x.alias("t"))
     )
     out = F.get(F.filter("__below", lambda e: (strip(e["t"]) != "") & (indent(e["t"]) <= indent(F.col("__line")))), F.lit(0))
     inside = starts.withColumn("__below", below).withColumn("__stop", out["no"])

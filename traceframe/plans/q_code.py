@@ -333,7 +333,7 @@ def x16(spark, sf):
 )
 def j07(spark, sf):
     e = edges(spark, sf)
-    return graph.induced_edges(e, graph.top_by_degree(e, 200), 200)
+    return graph.induced_edges(e, graph.top_by_degree(e, 200))
 
 
 @query(

@@ -162,7 +162,7 @@ def k01(spark, sf):
 
     numbered = logs.number_lines(lines(spark, sf))
     hits = numbered.where(F.col("line").startswith("KeyError"))
-    exported = export_ready(logs.with_context(hits, numbered, 50))
+    exported = export_ready(logs.with_context(hits, numbered, 50), keep=15)
     return exported.select("stream_id", "line_no", F.array_join("context_lines", "\n").alias("context"))
 
 

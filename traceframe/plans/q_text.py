@@ -227,9 +227,9 @@ def w13(spark, sf):
 _CALLS_FROM = f"""src AS (SELECT path, regexp_replace(text, '\\n$', '') AS text FROM v_source), {LINES.format(src='src')},
     l AS (SELECT path, line_no, line, trim(line, {WS}) AS t, length(line) - length(ltrim(line, {WS})) AS ind FROM lines),
     d AS (SELECT path, line_no AS p, ind AS base FROM l WHERE contains(line, 'def _get(')),
-    s AS (SELECT d.path, p, min(line_no) AS stop FROM d JOIN l ON d.path = l.path AND line_no > p AND line_no <= p + 99 WHERE t <> '' AND ind <= base GROUP BY d.path, p),
+    s AS (SELECT d.path, p, min(line_no) AS stop FROM d JOIN l ON d.path = l.path AND line_no > p WHERE t <> '' AND ind <= base GROUP BY d.path, p),
     c AS (SELECT d.path, l.line_no, l.t, unnest(regexp_extract_all(line, '(\\w+)\\s*\\(', 1)) AS callee FROM d JOIN l ON d.path = l.path
-      LEFT JOIN s ON d.path = s.path AND d.p = s.p WHERE line_no > d.p AND line_no <= d.p + 99 AND (stop IS NULL OR line_no < stop)),
+      LEFT JOIN s ON d.path = s.path AND d.p = s.p WHERE line_no > d.p AND (stop IS NULL OR line_no < stop)),
     k AS (SELECT path, line_no, callee, t AS content FROM c WHERE callee NOT IN ('if','for','while','print','len','str','int','float','bool','dict','list','tuple','set'))"""
 
 

@@ -17,10 +17,10 @@ def iso(ts: Column) -> Column:
     return F.date_format(ts.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
-def export_ready(events: DataFrame, ts: str = "ts", context: str = "context_lines", keep: int = 15) -> DataFrame:
-    """ISO time text and the last ``keep`` context lines."""
+def export_ready(events: DataFrame, ts: str = "ts", context: str = "context_lines", keep: int | None = None) -> DataFrame:
+    """ISO time text; with ``keep`` only the last context lines."""
     out = events.withColumn(ts, iso(F.col(ts)))
-    return out.withColumn(context, tail(F.col(context), keep)) if context in events.columns else out
+    return out.withColumn(context, tail(F.col(context), keep)) if keep is not None and context in events.columns else out
 
 
 def json_rows(events: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -28,9 +28,9 @@ def json_rows(events: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return events.select(F.to_json(F.struct(*(columns or events.columns))).alias("value"))
 
 
-def write_json_lines(events: DataFrame, path: str, mode: str = "append") -> None:
-    """One event per line, written by all tasks in parallel; null fields are kept."""
-    export_ready(events).write.mode(mode).option("ignoreNullFields", "false").json(path)
+def write_json_lines(events: DataFrame, path: str, mode: str = "append", keep: int | None = None) -> None:
+    """One event per line, written by all tasks in parallel; null fields are kept, and all context lines without ``keep``."""
+    export_ready(events, keep=keep).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def write_json_array(events: DataFrame, path: str, order: list[str], limit: int = ARRAY_LIMIT) -> int:
@@ -42,7 +42,7 @@ def write_json_array(events: DataFrame, path: str, order: list[str], limit: int
     total = events.count()
     if total > limit:
         raise ValueError(f"{total} events exceed the limit of {limit} for one array file; write JSON lines")
-    ready = export_ready(events)
+    ready = export_ready(events, keep=15)
     body = (
         ready.orderBy(*order)
         .coalesce(1)
@@ -85,10 +85,10 @@ def with_day(events: DataFrame, ts: str = "ts") -> DataFrame:
     return events.withColumn("day", F.date_format(F.col(ts).cast("timestamp"), "yyyyMMdd"))
 
 
-def write_by_day(events: DataFrame, path: str, ts: str = "ts") -> None:
-    """Append JSON lines with the last five context lines under ``day=yyyyMMdd`` folders; no shuffle, so a
+def write_by_day(events: DataFrame, path: str, ts: str = "ts", keep: int | None = None) -> None:
+    """Append JSON lines (with ``keep`` that many last context lines) under ``day=yyyyMMdd`` folders; no shuffle, so a
     busy day is spread over tasks."""
-    export_ready(with_day(events, ts), ts, keep=5).write.mode("append").partitionBy("day").json(path)
+    export_ready(with_day(events, ts), ts, keep=keep).write.mode("append").partitionBy("day").json(path)
 
 
 def per_url_totals(events: DataFrame, url: str = "url") -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +18,6 @@ from traceframe.operators.checks import BODY_CHARS
 CHECK_SCHEMA = (
     "check_id bigint, url string, ts timestamp, attempt int, method string, status int, error_type string, error string, body string"
 )
-SAMPLE_ROWS = 10
 
 
 def scan_checks(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -32,18 +32,19 @@ def check_failures(attempts: DataFrame) -> DataFrame:
     return renamed.withColumn("response_body", F.substring("body", 1, BODY_CHARS)).drop("body")
 
 
-def sampled_schema(spark: SparkSession, path: str | list[str], rows: int = SAMPLE_ROWS) -> T.StructType:
-    """Schema of nested JSON from its first records; an unreadable or empty source gives an empty schema.
+def sampled_schema(spark: SparkSession, path: str | list[str], rows: int | None = None) -> T.StructType:
+    """Schema of nested JSON from all of its records (one distributed pass); with ``rows`` from that many first ones.
 
-    Only ``rows`` text lines reach the driver; the table itself is read later with the result.
+    A missing or empty source gives an empty schema; any other error is raised.
     """
     try:
+        if rows is None:
+            return spark.read.json(path).schema
         head = [r.value for r in spark.read.text(path).where(F.trim("value") != "").limit(rows).collect()]
-        if not head:
-            return T.StructType([])
-        return spark.read.json(spark.sparkContext.parallelize(head, 1)).schema
-    except Exception as error:  # noqa: BLE001 - the caller asked for a schema or an empty one
-        spark._jvm.org.slf4j.LoggerFactory.getLogger("traceframe").warn(f"no schema for {path}: {error}")
+        return spark.read.json(spark.sparkContext.parallelize(head, 1)).schema if head else T.StructType([])
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return T.StructType([])
 
 

@@ -83,12 +83,14 @@ def live_exceptions(
 
 
 def live_trailing_alerts(
-    sink: Sink, carry: Carry, keys: Sequence[str], ts: str = "ts", seconds: int = 300, threshold: int = 3, delay_seconds: int = 0
+    sink: Sink, carry: Carry, keys: Sequence[str], ts: str = "ts", seconds: int = 300, threshold: int = 3, delay_seconds: int = 600
 ):
     """``foreachBatch`` function: trailing-window alerts for new events.
 
     Carried: events younger than the window (plus ``delay_seconds`` for late ones) counted back from
-    the latest time seen. They are rows of a table, not one key's state.
+    the latest time of their own key, so a key that lags behind others loses nothing. They are rows of a
+    table, not one key's state. An event later than ``delay_seconds`` is counted with what is still
+    carried; counts already sent are not sent again.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -99,10 +101,10 @@ def live_trailing_alerts(
         try:
             counted = trailing_counts(merged, keys, ts, seconds, "n_recent")
             sink(counted.where(F.col("__new") & (F.col("n_recent") >= threshold)).drop("__new"), batch_id)
-            latest = merged.agg(F.max(F.unix_micros(F.col(ts).cast("timestamp"))).alias("m")).first()["m"]
-            floor = (latest or 0) - (seconds + delay_seconds) * MICROS
-            young = merged.where(F.unix_micros(F.col(ts).cast("timestamp")) > floor).drop("__new")
-            carry.save(young, batch_id)
+            at = F.unix_micros(F.col(ts).cast("timestamp"))
+            latest = merged.groupBy(*keys).agg(F.max(at).alias("__latest"))
+            young = join_one_per_key(merged, latest, keys, ts).where(at > F.col("__latest") - (seconds + delay_seconds) * MICROS)
+            carry.save(young.drop("__new", "__latest"), batch_id)
         finally:
             merged.unpersist()
 
