@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceframe.llm.common import cut_lineage, query, table, unit_hash
-from traceframe.llm.links import components
+from traceframe.llm.links import components, local_labels
 
 #: Vectors the centres are fitted on, at most (in expectation).
 SAMPLE = 20_000
@@ -51,19 +51,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _local_labels(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest id that links within one pair of blocks reach, for both sides. linked: which left and right vectors link."""
-    a, b = np.nonzero(linked)
-    la, lb = left.copy(), right.copy()
-    while True:
-        na, nb = la.copy(), lb.copy()
-        np.minimum.at(na, a, lb[b])
-        np.minimum.at(nb, b, na[a])
-        if (na == la).all() and (nb == lb).all():
-            return la, lb
-        la, lb = na, nb
-
-
 def _cells(vectors: DataFrame, centres: np.ndarray, radius: float) -> DataFrame:
     """(cell, home, vec_id, vector, weight): a row for the home cell and one for each lower-numbered cell within reach."""
     sent = vectors.sparkSession.sparkContext.broadcast(centres)
@@ -103,7 +90,7 @@ def _compare(threshold: float):
         # a block against itself holds each pair twice and each vector against itself
         linked &= ids[left][:, None] != ids[right][None, :]
         same = (side == 2).any()
-        la, lb = _local_labels(linked, ids[left], ids[right])
+        la, lb = local_labels(linked, ids[left], ids[right])
         of, to = [ids[left]], [la]
         n = [linked @ weight[right]]
         if not same:

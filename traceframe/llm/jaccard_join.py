@@ -9,8 +9,10 @@ with the segments that cost least. Costs are the numbers of other sets with the
 A set with enough segments that nobody shares probes nothing, which is the common case; passages that many documents
 hold are skipped as long as the rest suffices.
 
-Candidates are compared exactly by their shingles. Groups are first compared with two of their members, so groups of near
-copies become one component without all their pairs; what then still lies in different components is compared pair by pair.
+Candidates are compared exactly by their shingles. The documents of a signature are gathered under the one of them that
+shares most, so a family of near copies comes together once instead of once for each signature. Those that ask are compared
+with those that are indexed in blocks of bounded size, by products of incidence matrices; a block yields for each document one
+edge to the smallest document that its links reach, never the pairs themselves.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from traceframe.llm.common import cut_lineage, query, table
-from traceframe.llm.links import components
+from traceframe.llm.links import components, local_labels
 from traceframe.llm.spans import Texts, mix, passes, starts_of, windows
 
 WIDTH = 5
@@ -32,8 +34,8 @@ WIDTH = 5
 DELETABLE = 2
 #: Segments of a band, times what a full set needs.
 SLACK = 1.25
-#: Compared documents that share one copy of the document they are compared with.
-CHUNK = 200
+#: Documents of a block, and columns of an incidence matrix.
+BLOCK, COLUMNS = 256, 1 << 15
 _U = np.uint64
 # roles of signature rows; odd ones of view 1 (the next lower band) follow those of view 0
 OWN, LEFT_OUT, DOWN, UPGRADE = 0, 1, 2, 3
@@ -181,8 +183,8 @@ def _shared(rows: DataFrame) -> DataFrame:
     )
 
 
-def probes_and_index(docs: DataFrame, facts: DataFrame, salt: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Chosen probes and index rows, both (sig, doc_id, n), of one document for each set.
+def candidates(docs: DataFrame, facts: DataFrame, salt: int = 0) -> DataFrame:
+    """(lead, doc_id, asks, held): who is to be compared under a leading document, each one that asks with each one held.
 
     facts: the ``set_facts`` of the documents that stand for their sets.
     """
@@ -203,67 +205,91 @@ def probes_and_index(docs: DataFrame, facts: DataFrame, salt: int = 0) -> tuple[
         slots.withColumn("_free", F.col("slots") - F.count("*").over(own)).withColumn("_turn", F.row_number().over(own.orderBy("cost", "slot")))
         .where(F.col("_turn") <= F.col("need") - F.col("_free")).select("doc_id", "view", "slot")
     )
-    probes = asked.join(chosen, ["doc_id", "view", "slot"], "left_semi").select("sig", "doc_id", "n").distinct()
-    return cut_lineage(probes), several.where(f"role <= {LEFT_OUT}").select("sig", "doc_id", "n").distinct()
+    probes = cut_lineage(asked.join(chosen, ["doc_id", "view", "slot"], "left_semi").select("sig", "doc_id").distinct())
+    index = several.where(f"role <= {LEFT_OUT}").select("sig", "doc_id").distinct().join(probes.select("sig").distinct(), "sig", "left_semi")
+    members = probes.select("sig", "doc_id", F.lit(True).alias("asks")).union(index.select("sig", "doc_id", F.lit(False).alias("asks")))
+    # the member that shares most with others is the likeliest original of its family
+    shares = several.groupBy("doc_id").agg(F.sum("cost").alias("shares"))
+    leads = members.join(shares, "doc_id").groupBy("sig").agg(F.max(F.struct("shares", "doc_id")).alias("top")).select("sig", F.col("top.doc_id").alias("lead"))
+    return cut_lineage(members.join(leads, "sig").groupBy("lead", "doc_id").agg(F.bool_or("asks").alias("asks"), F.bool_or(~F.col("asks")).alias("held")))
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Shingles that each left set has in common with each right one."""
+    out = np.zeros((len(left), len(right)))
+    if len(left) * len(right) <= 16:
+        for i, a in enumerate(left):
+            for j, b in enumerate(right):
+                out[i, j] = len(np.intersect1d(a, b, assume_unique=True))
+        return out
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    sides = []
+    for sets in (left, right):
+        tokens, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(common, tokens), max(len(common) - 1, 0))
+        known = common[at] == tokens if len(common) else np.zeros(len(tokens), bool)
+        sides.append((of[known], at[known]))
+    for first in range(0, len(common), COLUMNS):
+        width = min(COLUMNS, len(common) - first)
+        a, b = (np.zeros((len(s), width), np.float32) for s in (left, right))
+        for matrix, (of, at) in ((a, sides[0]), (b, sides[1])):
+            here = (at >= first) & (at < first + width)
+            matrix[of[here], at[here] - first] = 1
+        out += a @ b.T
+    return out
 
 
-_SIZES_FIT = "4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
+def compare_blocks(groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): for each document with a link, one edge to the smallest one that links within a pair of blocks reach."""
+    sizes = groups.groupBy("lead").agg(F.ceil(F.count_if("asks") / BLOCK).cast("int").alias("rows"), F.ceil(F.count_if("held") / BLOCK).cast("int").alias("columns"))
+    groups = groups.join(sizes, "lead").where("rows > 0 and columns > 0")
 
+    def side(flag: str, number: int, own: str, other: str) -> DataFrame:
+        block = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col(own)).cast("int").alias(own)
+        return groups.where(flag).select("lead", "doc_id", F.lit(number).alias("side"), block, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets overlap by 75 percent or more; a pair is compared in the stream of rows of ``a``."""
-    per = pairs.groupBy("a").agg(F.count("*").alias("_of_a"))
-    pairs = pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("_of_a") / CHUNK)).alias("chunk"))
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = cut_lineage(docs.join(wanted, "doc_id", "left_semi"))
-    lead = pairs.select("a", "chunk").distinct().join(texts, F.col("a") == F.col("doc_id")).select("a", "chunk", F.lit(None).cast("bigint").alias("b"), "text")
-    rest = pairs.join(texts, F.col("b") == F.col("doc_id")).select("a", "chunk", "b", "text")
-    rows = lead.union(rest).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    placed = side("asks", 0, "rows", "columns").unionByName(side("held", 1, "columns", "rows"))
+    texts = docs.join(groups.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = placed.join(texts, "doc_id").repartition("lead", "rows", "columns").sortWithinPartitions("lead", "rows", "columns")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, leads = None, []
-        for batch in batches:
-            a, chunk, b = (batch.column(c).to_pylist() for c in ("a", "chunk", "b"))
-            found = []
-            row = 0
-            for _, sets in _sets_of(batch):
-                for own in sets:
-                    if held != (a[row], chunk[row]):
-                        held, leads = (a[row], chunk[row]), []
-                    if b[row] is None:
-                        leads.append(own)
-                    else:
-                        for other in leads:
-                            common = len(np.intersect1d(own, other, assume_unique=True))
-                            if common and 100 * common >= 75 * (len(own) + len(other) - common):
-                                found.append((a[row], b[row]))
-                    row += 1
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-
-    return rows.mapInArrow(compare, "a bigint, b bigint").distinct()
+    def links(ids: list[int], sides: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        left, right = ([i for i, s in enumerate(sides) if s == which] for which in (0, 1))
+        if not left or not right:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.array(ids)
+        size = np.array([len(s) for s in sets])
+        common = _overlaps([sets[i] for i in left], [sets[i] for i in right])
+        linked = (common > 0) & (100 * common >= 75 * (size[left][:, None] + size[right][None, :] - common)) & (at[left][:, None] != at[right][None, :])
+        la, lb = local_labels(linked, at[left], at[right])
+        of, to = np.concatenate([at[left], at[right]]), np.concatenate([la, lb])
+        return of[of != to], to[of != to]
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        ids: list[int] = []
+        sides: list[int] = []
+        sets: list[np.ndarray] = []
 
-def _links(docs: DataFrame, facts: DataFrame, salt: int) -> DataFrame:
-    """Links between documents that stand for their sets, enough for all components."""
-    probes, index = probes_and_index(docs, facts, salt)
-    members = cut_lineage(index.join(probes.select("sig").distinct(), "sig", "left_semi").union(probes).distinct())
-    ends = members.groupBy("sig").agg(F.min(F.struct("doc_id", "n")).alias("low"), F.max(F.struct("doc_id", "n")).alias("high"))
-    stars = members.join(ends, "sig").select("doc_id", "n", F.explode(F.array("low", "high")).alias("to"))
-    stars = stars.select(F.col("to.doc_id").alias("a"), F.col("to.n").alias("n_a"), F.col("doc_id").alias("b"), F.col("n").alias("n_b"))
-    tried = cut_lineage(stars.where("a <> b").where(_SIZES_FIT).select("a", "b").distinct())
-    first = cut_lineage(verify(tried, docs))
-    found = components(first)
+        def out() -> pa.RecordBatch:
+            of, to = links(ids, sides, sets)
+            ids.clear(), sides.clear(), sets.clear()
+            return pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(to, pa.int64())], names=["a", "b"])
 
-    def labelled(rows: DataFrame, side: str) -> DataFrame:
-        joined = rows.join(found, rows["doc_id"] == found["node"], "left")
-        return joined.select("sig", F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.coalesce("component", "doc_id").alias(f"c_{side}"))
+        for batch in batches:
+            for part, some in _sets_of(batch):
+                columns = [part.column(c).to_pylist() for c in ("lead", "rows", "columns", "doc_id", "side")]
+                for lead, row, column, doc, which, own in zip(*columns, some):
+                    if held != (lead, row, column):
+                        if ids:
+                            yield out()
+                        held = (lead, row, column)
+                    ids.append(doc)
+                    sides.append(which)
+                    sets.append(own)
+        if ids:
+            yield out()
 
-    apart = labelled(members, "a").groupBy("sig").agg(F.min("c_a").alias("x"), F.max("c_a").alias("y")).where("x < y").select("sig")
-    left = labelled(probes.join(apart, "sig", "left_semi"), "a")
-    right = labelled(index.join(apart, "sig", "left_semi"), "b")
-    cross = left.join(right, "sig").where("a <> b and c_a <> c_b").where(_SIZES_FIT).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return first.union(verify(cut_lineage(cross.join(done, ["a", "b"], "left_anti")), docs))
+    return rows.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -280,7 +306,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     equal = named.join(stands.select("h1", "h2", "to"), ["h1", "h2"]).where("doc_id <> to").select(F.col("doc_id").alias("a"), F.col("to").alias("b"))
     kept = cut_lineage(stands.select(F.col("to").alias("doc_id"), "n", "need0", "slots0", "need1", "slots1"))
     known = given.where("doc_id is not null")
-    links, salt = _links(known, kept, 0), 0
+    links, salt = compare_blocks(candidates(known, kept), known), 0
     short = kept.where("need0 > slots0 or need1 > slots1")
     while short.limit(1).count():
         # too many empty segments by chance: these sets ask again under another hash, of sets of near sizes only
@@ -292,7 +318,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         asks = short.select("doc_id", F.lit(1).alias("_asks"))
         fresh = fresh.join(asks, "doc_id", "left").select("doc_id", "n", "slots0", "slots1", *(F.when(F.col("_asks") == 1, F.col(c)).otherwise(0).alias(c) for c in ("need0", "need1")))
         fresh = cut_lineage(fresh)
-        links = links.union(_links(again, fresh, salt))
+        links = links.union(compare_blocks(candidates(again, fresh, salt), again))
         short = fresh.where("need0 > slots0 or need1 > slots1")
     found = components(equal.union(links))
     joined = facts.join(found, facts["doc_id"] == found["node"], "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +36,16 @@ def components(edges: DataFrame) -> DataFrame:
             break
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return cut_lineage(stars.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
+
+
+def local_labels(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest id that links within one pair of blocks reach, for both sides. linked: which left and right vectors link."""
+    a, b = np.nonzero(linked)
+    la, lb = left.copy(), right.copy()
+    while True:
+        na, nb = la.copy(), lb.copy()
+        np.minimum.at(na, a, lb[b])
+        np.minimum.at(nb, b, na[a])
+        if (na == la).all() and (nb == lb).all():
+            return la, lb
+        la, lb = na, nb
