@@ -143,7 +143,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
 
         for batch in batches:
             ids_of += batch.column("doc_id").to_pylist()
-            for _, _, texts in passes(batch.column("text"), limit=1 << 22):
+            for _, _, texts in passes(batch.column("text")):
                 for ids in encode(texts):
                     sizes.append(len(ids) + 1)
                     windows.add(len(sizes) - 1, np.append(ids, np.int32(END)))

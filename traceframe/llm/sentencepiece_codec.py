@@ -172,7 +172,7 @@ def encode_texts(docs: DataFrame, text: str = "text", model: str = MODEL) -> Dat
         for batch in batches:
             kept = [c for c in batch.schema.names if c not in added]
             column = batch.column(text)
-            for row, end, texts in passes(column, limit=1 << 22):
+            for row, end, texts in passes(column):
                 ids = own.encode(texts)
                 same = [own.decode(i) == texts.data[a:b].tobytes() for i, a, b in zip(ids, texts.bounds, texts.bounds[1:])]
                 bounds = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
