@@ -101,7 +101,7 @@ def dot_lines(edges: DataFrame, functions: DataFrame, keep: int = 50) -> DataFra
             F.when(F.col("is_method"), "lightblue").otherwise("lightgreen"), F.lit(", style=filled];"),
         ).alias("line"),
     )
-    arrows = induced_edges(edges, top, keep).select(
+    arrows = induced_edges(edges, top).select(
         F.lit(2).alias("section"), F.concat(F.lit('  "'), "caller", F.lit('" -> "'), "callee", F.lit('";')).alias("line")
     )
     spark = edges.sparkSession
