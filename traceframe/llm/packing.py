@@ -55,7 +55,8 @@ class Windows:
         for at in range(0, whole, self.window):
             self.close([(doc, at, ids[at : at + self.window])])
         if whole < len(ids):
-            piece = (doc, whole, ids[whole:])
+            # a copy, so that an open window does not hold all ids of a long document
+            piece = (doc, whole, ids[whole:].copy() if whole else ids)
             level = self.level_for(len(piece[2]))
             if level:
                 self.counts[level] -= 1
