@@ -1,7 +1,10 @@
-"""Streaming queries. The tables are replayed as two or three consecutive files, one micro-batch each."""
+"""Streaming queries. The tables are replayed in two or three slices that arrive one after the other."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceframe.operators import checks, logs
@@ -17,16 +20,31 @@ from traceframe.streaming import live
 from traceframe.streaming.carry import Carry
 
 
+@dataclass
+class Replay:
+    """Folder of a replayed stream, and the slices that are still to arrive."""
+
+    folder: str
+    coming: list[DataFrame]
+
+    def __str__(self) -> str:
+        return self.folder
+
+
 def replay(spark, df, order: str, slices: int = 3):
-    """All rows of ``df`` as a stream of ``slices`` files in ``order``; returns (stream, folder)."""
+    """All rows of ``df`` as a stream in ``slices`` steps of ``order``; returns (stream, its ``Replay``).
+
+    All tasks write a slice. ``finish`` lets one arrive, runs the stream on its checkpoint until nothing is left, and goes on with
+    the next one, so every slice also tests a restart. Rows without an order arrive first.
+    """
     root = scratch(spark)
     low, high = df.agg(F.min(order), F.max(order)).first()
+    low, high = (0, 0) if low is None else (low, high)
     step = (high - low) // slices + 1
-    for i in range(slices):
-        part = df.where((F.col(order) >= low + i * step) & (F.col(order) < low + (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    return stream, root
+    at = F.coalesce(F.floor((F.col(order) - low) / step), F.lit(0))
+    parts = [df.where(at == i) for i in range(slices)]
+    parts[0].write.parquet(f"{root}/in")
+    return spark.readStream.schema(df.schema).parquet(f"{root}/in"), Replay(root, parts[1:])
 
 
 def events_stream(spark, sf, slices=3):
@@ -40,6 +58,9 @@ def failure_stream(spark, sf, slices=2):
 
 def finish(spark, stream, run, root, mode="append"):
     live.run_bounded(live.start(stream, run, f"{root}/checkpoint", available_now=True, mode=mode))
+    for part in root.coming:
+        part.write.mode("append").parquet(f"{root}/in")
+        live.run_bounded(live.start(stream, run, f"{root}/checkpoint", available_now=True, mode=mode))
     return spark.read.parquet(f"{root}/out")
 
 
