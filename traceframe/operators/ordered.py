@@ -43,8 +43,8 @@ def time_chunks(
     Column of microseconds.
 
     Fine intervals nest in coarse ones, so chunks of both widths order by their start. The list of
-    crowded intervals has at most ``rows / limit`` entries (200,000 for 10^12 rows), which is the
-    proof of size behind the broadcast.
+    crowded intervals has at most ``rows / limit`` entries; how it is joined is left to Spark, which
+    checks its size.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp")) if isinstance(ts, str) else ts
 
@@ -64,7 +64,7 @@ def time_chunks(
         same = same & F.col(key).eqNullSafe(F.col(f"__c_{i}"))
     helper = ["__wide", "__c_wide", *[f"__c_{i}" for i in range(len(keys))]]
     return (
-        spread.join(F.broadcast(crowded), same, "left")
+        spread.join(crowded, same, "left")
         .withColumn(name, F.when(F.col("__c_wide").isNotNull(), start(fine_seconds)).otherwise(F.col("__wide")))
         .drop(*helper)
     )
