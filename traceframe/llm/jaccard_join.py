@@ -36,6 +36,8 @@ DELETABLE = 2
 SLACK = 1.25
 #: Documents of a block, and columns of an incidence matrix.
 BLOCK, COLUMNS = 256, 1 << 15
+#: Parts that the rows of a family are dealt to when its size is counted.
+PARTS = 1024
 _U = np.uint64
 # roles of signature rows; odd ones of view 1 (the next lower band) follow those of view 0
 OWN, LEFT_OUT, DOWN, UPGRADE = 0, 1, 2, 3
@@ -241,8 +243,12 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def compare_blocks(groups: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): for each document with a link, one edge to the smallest one that links within a pair of blocks reach."""
-    sizes = groups.groupBy("lead").agg(F.ceil(F.count_if("asks") / BLOCK).cast("int").alias("rows"), F.ceil(F.count_if("held") / BLOCK).cast("int").alias("columns"))
-    groups = groups.join(sizes, "lead").where("rows > 0 and columns > 0")
+    # a family may hold a third of all documents: its size is added up from parts, and its rows meet it part by part
+    groups = groups.withColumn("part", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(PARTS)).cast("int"))
+    parts = groups.groupBy("lead", "part").agg(F.count_if("asks").alias("asks"), F.count_if("held").alias("held"))
+    family = Window.partitionBy("lead")
+    sizes = parts.select("lead", "part", *(F.ceil(F.sum(c).over(family) / BLOCK).cast("int").alias(n) for c, n in (("asks", "rows"), ("held", "columns"))))
+    groups = groups.join(sizes, ["lead", "part"]).where("rows > 0 and columns > 0")
 
     def side(flag: str, number: int, own: str, other: str) -> DataFrame:
         block = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col(own)).cast("int").alias(own)
