@@ -98,6 +98,11 @@ def f26(spark, sf):
 
 @query("f27_file_list", "SELECT path FROM v_files WHERE path LIKE '%.py' ORDER BY path LIMIT 100", ["v_files"])
 def f27(spark, sf):
+    return search.list_files(files(spark, sf), "*.py", limit=100)
+
+
+@query("f27_file_list_all", "SELECT path FROM v_files WHERE path LIKE '%.py'", ["v_files"])
+def f27_all(spark, sf):
     return search.list_files(files(spark, sf), "*.py")
 
 
