@@ -3,8 +3,9 @@
 Card numbers that pass the Luhn test, phone numbers, IPv4 addresses and calendar dates are permuted under a key within the
 set of all values of their format, so the same value becomes the same pseudonym in every document, and different values
 stay different. Separators, country codes and check digits stay right. Mail addresses and secrets are no numbers; they
-become keyed digests in their own format. Only texts that hold a digit, ``@`` or ``=`` meet the costly patterns, and only
-what these find is rewritten.
+become keyed digests in their own format. Only texts that hold what some pattern cannot do without (``GATE``) meet the
+costly patterns, and only what these find is rewritten. A card may stand among other numbers: of the groups of digits that
+begin at each place, the longest run that passes the Luhn test is a card, and a longer run that fails does not hide it.
 """
 
 from __future__ import annotations
@@ -20,8 +21,17 @@ SECRET = r"""(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=(?i:password|pa
 DATE = r"(?<![\d.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d-]|\.\d)"
 ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 PHONE = r"\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
-CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"
-FOUND = "|".join((EMAIL, SECRET, DATE, ADDRESS, PHONE, CARD))
+#: A run of digits ends before another value.
+NEXT = f"(?!{EMAIL}|{DATE}|{ADDRESS})"
+DIGITS = r"\d(?:[ -]?\d){12,18}"
+RUN = rf"\d(?:\d|[ -]{NEXT}\d){{12,18}}(?!\d)"
+#: The longest run at each group of digits, overlaps included.
+RUNS = rf"(?<![\d.])(?=\d){NEXT}(?=({RUN}))"
+CARD = rf"(?<![\d.]){RUN}"
+OTHERS = "|".join((EMAIL, SECRET, DATE, ADDRESS, PHONE))
+FOUND = f"{OTHERS}|{CARD}"
+#: Mail addresses need ``@``, secrets ``=``, ``:`` or AKIA, all others a digit.
+GATE = "[0-9@=:]|AKIA"
 #: Days from 1900-01-01 to 2099-12-31 are 17 times 4297 (fixed values).
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
 
@@ -72,6 +82,26 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(10 - F.pmod(F.aggregate(doubled, F.lit(0), lambda s, v: s + v), F.lit(10)), F.lit(10)).cast("string")
 
 
+def _valid(text: Column) -> Column:
+    digits = _digits(text)
+    return _luhn(digits.substr(F.lit(1), F.length(digits) - 1)) == F.substring(digits, -1, 1)
+
+
+def _cards(text: Column) -> Column:
+    """The distinct cards of a text, longest first: of each run of digits the longest part from its start that ends at a separator and passes the Luhn test."""
+    parts = lambda run: F.array(*(F.regexp_extract(run, rf"^\d(?:[ -]?\d){{{n - 1}}}(?!\d)", 0) for n in range(19, 12, -1)))
+    best = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(RUNS), 1)), lambda run: F.get(F.filter(parts(run), lambda p: (p != "") & _valid(p)), F.lit(0)))
+    ranked = F.array_sort(F.transform(F.array_distinct(F.filter(best, lambda c: c.isNotNull())), lambda c: F.struct((-F.length(c)).alias("n"), c.alias("c"))))
+    return F.transform(ranked, lambda r: r["c"])
+
+
+def _found(cards: Column) -> Column:
+    """The pattern of all values in a text with these cards; runs that fail the test end before a card."""
+    known = F.concat(F.lit(r"(?<![\d.])(?:"), F.array_join(cards, "|"), F.lit(r")(?!\d)"))
+    run = F.concat(F.lit(rf"(?<![\d.])\d(?:\d|[ -]{NEXT}(?!"), known, F.lit(r")\d){12,18}(?!\d)"))
+    return F.when(F.size(cards) > 0, F.concat(F.lit(f"{OTHERS}|"), known, F.lit("|"), run)).otherwise(F.lit(FOUND))
+
+
 def _card(text: Column, secret: str) -> Column:
     digits = _digits(text)
     payload = digits.substr(F.lit(1), F.length(digits) - 1)
@@ -116,7 +146,7 @@ def pseudonym(text: Column, secret: str) -> Column:
     mail = F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(f"{secret}|mail|"), F.lower(text)), 256), 1, 16), F.lit("@example.org"))
     return (
         F.when(text.rlike(f"^(?:{EMAIL})$"), mail).when(text.rlike(f"^(?:{DATE})$"), _date(text, secret)).when(text.rlike(f"^(?:{ADDRESS})$"), _address(text, secret))
-        .when(text.rlike(f"^(?:{PHONE})$"), _phone(text, secret)).when(text.rlike(f"^(?:{CARD})$"), _card(text, secret)).otherwise(_secret(text, secret))
+        .when(text.rlike(f"^(?:{PHONE})$"), _phone(text, secret)).when(text.rlike(f"^{DIGITS}$"), _card(text, secret)).otherwise(_secret(text, secret))
     )
 
 
@@ -127,13 +157,13 @@ def pseudonymise(docs: DataFrame, secret: str = "change-me", text: str = "text",
     as dates from 1900 to 2099; others, impossible dates, cards that fail the Luhn test and addresses above 255 stay.
     """
     column = F.col(text).cast("string")
-    # nothing below is evaluated for the many texts without any of these characters
-    rare = column.rlike("[0-9@=]")
-    values = F.when(rare, F.regexp_extract_all(column, F.lit(FOUND), 0))
-    found = docs.withColumn("_values", values)
-    between = F.split(column, FOUND, -1)
+    # nothing below is evaluated for the many texts that no pattern can match
+    rare = column.rlike(GATE)
+    found = docs.withColumn("_found", F.when(rare, _found(_cards(column))))
+    found = found.withColumn("_values", F.when(F.col("_found").isNotNull(), F.regexp_extract_all(column, F.col("_found"), 0)))
+    between = F.split(column, F.col("_found"), -1)
     pieces = F.zip_with(between, F.transform("_values", lambda v: pseudonym(v, secret)), lambda p, v: F.concat(F.coalesce(p, F.lit("")), F.coalesce(v, F.lit(""))))
-    return found.withColumn(text, F.when(F.size("_values") > 0, F.array_join(pieces, "")).otherwise(column)).withColumn(name, F.coalesce(F.greatest(F.size("_values"), F.lit(0)), F.lit(0))).drop("_values")
+    return found.withColumn(text, F.when(F.size("_values") > 0, F.array_join(pieces, "")).otherwise(column)).withColumn(name, F.coalesce(F.greatest(F.size("_values"), F.lit(0)), F.lit(0))).drop("_values", "_found")
 
 
 @query("op9_pseudonyms")
