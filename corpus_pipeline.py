@@ -18,16 +18,21 @@ SURE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those whose language is predicted with less than SURE."""
+    """Drops documents without a letter and those whose language is predicted with less than SURE; where no language is
+    recorded nothing can be learned, and only documents without a letter are dropped."""
     model = language_id.fit(table(spark, sf_dir, "documents").where(fold(F.col("doc_id"), 5) != 0))
+    if not model["labels"]:
+        model = language_id.one_label("unknown")
     judged = language_id.predict(docs, model, name="_lang", score="_sure")
     return judged.where(f"_lang <> 'und' and _sure >= {SURE}").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score 0.5 or more."""
+    """Drops documents that score 0.5 or more; none where the labels teach nothing (no rows, one label, no feature)."""
     given, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(toxicity.training_rows(given, labels, "toxic", 5, 0))
+    if not toxicity.learned(model):
+        return docs
     return toxicity.score(docs, model, name="_toxic").where("_toxic < 0.5").select(*docs.columns)
 
 

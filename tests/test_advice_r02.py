@@ -1,6 +1,8 @@
 """Cases of the review: results that were cut, dropped or left in clear text."""
 
 import __spark_entry__ as contract
+import corpus_pipeline
+from pyspark.sql import functions as F
 from tests.harness import compare, duck
 from traceframe.llm import pseudonyms
 
@@ -42,3 +44,20 @@ def test_cards_among_other_numbers(spark):
 def test_numbers_do_not_hide_a_date_or_an_address(spark):
     for text, gone in (("1200 5500 2024-01-01", "2024-01-01"), ("12345678 1234 10.0.0.1", "10.0.0.1")):
         assert gone not in hidden(spark, text)[0][0]
+
+
+def test_pipeline_without_labels_or_languages(spark, tmp_path):
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).cache()
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    with_letter = given.where("text rlike '[A-Za-z]'").select("doc_id").distinct().count()
+    for name, docs, rows in (
+        ("none", given, labels.limit(0)),
+        ("clean", given.withColumn("lang", F.lit(None).cast("string")), labels.withColumn("toxic", F.col("toxic") * 0)),
+    ):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        rows.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        sf = f"{tmp_path}/{name}"
+        assert corpus_pipeline.drop_toxic(spark, docs, sf).count() == 60
+        assert contract.queries()["op1_toxicity"](spark, sf).where("predicted <> 0").count() == 0
+        assert corpus_pipeline.run(spark, sf).select("doc_id").distinct().count() > 0
+    assert corpus_pipeline.identify_language(spark, docs, sf).select("doc_id").distinct().count() >= with_letter > 0

@@ -176,6 +176,11 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     return {"labels": names, "weights": (w[:-1] * idf[:, None]).astype(np.float32), "intercept": 0.1 * w[-1], "temperature": got[0]["temperature"]}
 
 
+def one_label(label: str) -> dict:
+    """The model of a single label: every text with a letter has it."""
+    return {"labels": [label], "weights": np.zeros((BUCKETS, 1), np.float32), "intercept": np.zeros(1), "temperature": 1.0}
+
+
 def predict(docs: DataFrame, model: dict, text: str = "text", name: str = "lang_pred", score: str = "score") -> DataFrame:
     """Adds the predicted label and its probability. A text that is null, empty or without a letter is ``und`` with score 0;
     so is every text when nothing could be learned."""
