@@ -5,6 +5,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 from tests.harness import compare, duck
 from traceframe.llm import pseudonyms
+from traceframe.operators import edits
 
 
 def test_file_list_beyond_its_limit(spark):
@@ -61,3 +62,17 @@ def test_pipeline_without_labels_or_languages(spark, tmp_path):
         assert contract.queries()["op1_toxicity"](spark, sf).where("predicted <> 0").count() == 0
         assert corpus_pipeline.run(spark, sf).select("doc_id").distinct().count() > 0
     assert corpus_pipeline.identify_language(spark, docs, sf).select("doc_id").distinct().count() >= with_letter > 0
+
+
+def test_edit_of_lines_that_a_file_does_not_have(spark):
+    files = spark.createDataFrame([("a", "a"), ("b", ""), ("c", "a\nb\na"), ("d", "x\n")], "file string, text string")
+    asked = files.select("file", F.lit("a").alias("search"), F.lit("z").alias("replacement"), F.lit(2).alias("start_line"), F.lit(4).alias("end_line"))
+    done = {r.file: (r.text, r.status) for r in edits.replace_in_range(files, asked).collect()}
+    assert done == {"a": ("a", "not_found"), "b": ("", "not_found"), "c": ("a\nb\nz", "replaced"), "d": ("x\n", "not_found")}
+
+
+def test_every_document_is_edited_in_its_range(spark):
+    sf = "/root/testdata/sf0.01"
+    made = contract.queries()["e05_replace_in_range_all"](spark, sf)
+    assert compare(made, duck(sf), contract.oracle_sql()["e05_replace_in_range_all"]) is None
+    assert made.count() == spark.read.parquet(f"{sf}/documents.parquet").count() > contract.queries()["e05_replace_in_range"](spark, sf).count()

@@ -133,8 +133,8 @@ def _flexible(search: Column) -> Column:
 
 
 def replace_in_range(files: DataFrame, edits: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
-    """First occurrence within ``start_line``–``end_line`` (either may be null); whitespace may differ. Several edits of a
-    file are applied in the order of ``seq``, each by the lines that the ones before left."""
+    """First occurrence within ``start_line``–``end_line`` (either may be null); whitespace may differ. A text without it
+    stays as it is. Several edits of a file are applied in the order of ``seq``, each by the lines that the ones before left."""
 
     def step(whole: Column, edit: Column) -> tuple[Column, ...]:
         lines = F.split(whole, "\n", -1)
@@ -147,9 +147,9 @@ def replace_in_range(files: DataFrame, edits: DataFrame, file: str = "file", tex
         search = edit["search"]
         found = _squeeze(body).contains(_squeeze(search))
         literal = F.when(body.contains(search), search).otherwise(F.regexp_substr(body, _flexible(search)))
-        new = F.when(found & literal.isNotNull(), _replace_first(body, literal, edit["replacement"])).otherwise(body)
+        new = _replace_first(body, literal, edit["replacement"])
         after = F.array_join(F.concat(head, F.split(new, "\n", -1), rest), "\n")
-        return after, F.when(found, "replaced").otherwise("not_found"), F.lit(None), F.lit(None)
+        return F.when(found & literal.isNotNull(), after).otherwise(whole), F.when(found, "replaced").otherwise("not_found"), F.lit(None), F.lit(None)
 
     rows = _in_order(files, edits, file, text, step, ("start_line", "end_line"))
     return rows.select(*[c for c in rows.columns if c != "__e"], F.col("__e.status").alias("status"))

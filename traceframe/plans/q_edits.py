@@ -95,6 +95,21 @@ def e05(spark, sf):
     return edits.replace_in_range(v.select("file", "text"), ranged)
 
 
+@query(
+    "e05_replace_in_range_all",
+    """WITH r AS (SELECT file, text, search, replacement, string_split(text, chr(10)) AS ls FROM v_edits),
+    b AS (SELECT *, array_to_string(list_slice(ls, 2, 4), chr(10)) AS body FROM r), n AS (SELECT *, instr(body, search) AS hit FROM b)
+    SELECT file, CASE WHEN hit > 0 THEN array_to_string(list_concat(list_concat(list_slice(ls, 1, 1),
+      string_split(substr(body, 1, hit - 1) || replacement || substr(body, hit + length(search)), chr(10))), list_slice(ls, 5, len(ls))), chr(10)) ELSE text END AS text,
+      CASE WHEN hit > 0 THEN 'replaced' ELSE 'not_found' END AS status FROM n""",
+    ["v_edits"],
+)
+def e05_all(spark, sf):
+    v = plan(spark, sf)
+    ranged = v.select("file", "search", "replacement", F.lit(2).alias("start_line"), F.lit(4).alias("end_line"))
+    return edits.replace_in_range(v.select("file", "text"), ranged)
+
+
 _DIFF = """h AS (SELECT diff_id, 1 AS file_no, 'm' || o_custkey || '.py' AS target, 1 AS hunk_no, 1 AS added, 1 AS removed FROM d UNION ALL
   SELECT diff_id, 1, 'm' || o_custkey || '.py', 2, 2, 1 FROM d UNION ALL SELECT diff_id, 2, 'n' || o_orderkey % 50 || '.py', 1, 1, 0 FROM d)"""
 _SRC = "d AS (SELECT o_orderkey AS diff_id, o_orderkey, o_custkey, o_orderstatus FROM orders)"
