@@ -1,11 +1,13 @@
 """Cases of the review: results that were cut, dropped or left in clear text."""
 
+import json
+
 import __spark_entry__ as contract
 import corpus_pipeline
 from pyspark.sql import functions as F
 from tests.harness import compare, duck
 from traceframe.llm import pseudonyms
-from traceframe.operators import edits
+from traceframe.operators import code, edits
 
 
 def test_file_list_beyond_its_limit(spark):
@@ -76,3 +78,14 @@ def test_every_document_is_edited_in_its_range(spark):
     made = contract.queries()["e05_replace_in_range_all"](spark, sf)
     assert compare(made, duck(sf), contract.oracle_sql()["e05_replace_in_range_all"]) is None
     assert made.count() == spark.read.parquet(f"{sf}/documents.parquet").count() > contract.queries()["e05_replace_in_range"](spark, sf).count()
+
+
+def test_export_has_every_file_a_summary_and_the_graph(spark, tmp_path):
+    texts = [("a.py", "def f():\n    g()\n    g()\n"), ("constants.py", "LIMIT = 3\n"), ("empty.py", "")]
+    files = spark.createDataFrame(texts, "path string, text string")
+    facts = code.syntax_facts(files).cache()
+    assert {r.path: len(json.loads(r.value)) for r in code.summary_export(files, facts).collect()} == {"a.py": 1, "constants.py": 0, "empty.py": 0}
+    code.write_analysis(files, facts, str(tmp_path / "o"))
+    back = {n: [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/o/section={n}").collect()] for n in ("summary", "files", "graph")}
+    assert back["graph"] == [{"caller": "f", "callee": "g"}] and sorted(r["path"] for r in back["files"]) == ["a.py", "constants.py", "empty.py"]
+    assert len(back["summary"]) == 1 and (back["summary"][0]["files"], back["summary"][0]["functions"]) == (3, 1)

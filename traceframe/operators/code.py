@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceframe.functions.text import is_constant, strip, visibility
+from traceframe.operators.graph import distinct_edges
 from traceframe.operators.search import file_metrics
 
 _PARAM = "struct<name:string,type:string,default:string,is_vararg:boolean,is_kwarg:boolean>"
@@ -433,11 +434,32 @@ def unified_summary(facts: DataFrame) -> DataFrame:
     )
 
 
-def summary_export(files: DataFrame, facts: DataFrame) -> DataFrame:
-    """One JSON text per file with its functions, classes, imports and errors."""
+def _entries(files: DataFrame, facts: DataFrame) -> DataFrame:
+    """Path and sorted entries of every file, also of those without any."""
     entry = F.struct("kind", "name", "line", "end_line", "class_name", "scope", "detail")
-    known = facts.where(F.col("kind").isin("function", "class", "import", "error"))
-    return known.groupBy("path").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("value"))
+    known = facts.where(F.col("kind").isin("function", "class", "import", "error")).select("path", entry.alias("entry"))
+    every = known.unionByName(files.select("path"), allowMissingColumns=True)
+    return every.groupBy("path").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
+
+
+def summary_export(files: DataFrame, facts: DataFrame) -> DataFrame:
+    """One JSON text per file with its functions, classes, imports and errors; ``[]`` for a file without any."""
+    return _entries(files, facts).select("path", F.to_json("entries").alias("value"))
+
+
+def analysis_export(files: DataFrame, facts: DataFrame) -> DataFrame:
+    """The whole analysis as JSON texts by ``section``: one ``summary`` (corpus totals), one of ``files`` a file, one of
+    ``graph`` a distinct call edge. Reads the facts three times; pass a written table."""
+    parts = (
+        ("summary", corpus_totals(files, facts)), ("files", _entries(files, facts)), ("graph", distinct_edges(calls(facts))),
+    )
+    rows = [df.select(F.lit(name).alias("section"), F.to_json(F.struct(*df.columns)).alias("value")) for name, df in parts]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+def write_analysis(files: DataFrame, facts: DataFrame, path: str) -> None:
+    """A folder of JSON lines per section, written by all tasks."""
+    analysis_export(files, facts).write.partitionBy("section").text(path)
 
 
 def strip_context(refs: DataFrame) -> DataFrame:

@@ -173,6 +173,32 @@ def k09(spark, sf):
     return exported.select("path", F.json_array_length("value").cast("long").alias("n"))
 
 
+@query(
+    "k09_analysis_sections",
+    f"""WITH {FUNCS}, {IMPORTS}, {CALLS}, totals AS (SELECT (SELECT COUNT(*) FROM v_source) AS files, (SELECT CAST(SUM(len(string_split(text, chr(10)))) AS BIGINT) FROM v_source) AS lines,
+      (SELECT COUNT(*) FROM v_source WHERE {GOOD}) AS classes, COUNT(*) FILTER (class_name IS NULL) AS functions,
+      COUNT(*) FILTER (class_name IS NOT NULL) AS methods, CAST(SUM(complexity) AS BIGINT) AS complexity,
+      (SELECT COUNT(*) FROM v_source WHERE NOT ({GOOD})) AS errors FROM funcs)
+    SELECT 'files' AS section, file AS subject, NULL AS target, CAST(SUM(n) AS BIGINT) AS n FROM (SELECT file, COUNT(*) AS n FROM funcs GROUP BY 1 UNION ALL
+      SELECT file, COUNT(*) FROM imps GROUP BY 1 UNION ALL SELECT path, 1 FROM v_source) GROUP BY 2
+    UNION ALL SELECT DISTINCT 'graph', caller, callee, 1 FROM calls
+    UNION ALL SELECT 'summary', item, NULL, n FROM (UNPIVOT totals ON COLUMNS(*) INTO NAME item VALUE n)""",
+    ["v_source"],
+)
+def k09_sections(spark, sf):
+    """The exported texts, read back."""
+    exported = code.analysis_export(source(spark, sf), cut_lineage(facts(spark, sf)))
+    at = lambda name: F.get_json_object("value", f"$.{name}")
+    item = lambda subject, target, n: F.struct(subject.alias("subject"), target.cast("string").alias("target"), n.cast("long").alias("n"))
+    totals = F.transform(F.map_entries(F.from_json("value", "map<string,bigint>")), lambda e: item(e["key"], F.lit(None), e["value"]))
+    rows = (
+        F.when(F.col("section") == "summary", totals)
+        .when(F.col("section") == "files", F.array(item(at("path"), F.lit(None), F.json_array_length(at("entries")))))
+        .otherwise(F.array(item(at("caller"), at("callee"), F.lit(1))))
+    )
+    return exported.select("section", F.inline(rows))
+
+
 @query(
     "e07_syntax_check",
     f"""SELECT path AS file, {GOOD} AS success, CASE WHEN {GOOD} THEN NULL ELSE CAST(7 AS BIGINT) END AS line,
