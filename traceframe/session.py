@@ -74,7 +74,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executors are lost (unlike a local checkpoint)."""
     folder = scratch_folder(df.sparkSession)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    written = df.sparkSession.read.schema(df.schema).parquet(folder)
+    written._scratch = folder
+    return written
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the library's own below the shared folder, whatever store it is in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*written: DataFrame | None) -> None:
+    """Delete what ``cut_lineage`` wrote, once nothing reads it any more; None and other frames are left alone."""
+    for df in written:
+        folder = vars(df).get("_scratch") if df is not None else None
+        if folder:
+            remove_folder(df.sparkSession, folder)
 
 
 def spread(df: DataFrame) -> DataFrame:
