@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceframe.session import cut_lineage
+from traceframe.session import cut_lineage, discard, remove_folder, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,4 +62,4 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
-__all__ = ["ORACLES", "QUERIES", "arrow_map", "bounded_sample", "cut_lineage", "fold", "query", "table", "unit_hash"]
+__all__ = ["ORACLES", "QUERIES", "arrow_map", "bounded_sample", "cut_lineage", "discard", "fold", "query", "remove_folder", "scratch_folder", "table", "unit_hash"]
