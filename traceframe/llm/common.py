@@ -50,6 +50,35 @@ def bounded_sample(rows: DataFrame, label: str, key: Column, most: int, seed: in
     return rows.where(unit_hash(seed, key) < take)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, label) of about ``most`` documents a label outside the held-out fold, and how many there are of each.
+
+    Ids are matched and sampled first, so only the texts of the sample move. Labels other than 0 and 1 do not count; of an
+    id with several labels the largest does.
+    """
+    given = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out))
+    given = given.groupBy("doc_id").agg(F.max(label).alias("label"))
+    ids = docs.select("doc_id").where(fold(F.col("doc_id"), folds) != held_out).join(given, "doc_id")
+    counts = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    take = F.lit(0.0)
+    for value, n in counts.items():
+        take = F.when(F.col("label") == value, min(1.0, most / n)).otherwise(take)
+    # written, so that Spark knows how small it is
+    chosen = cut_lineage(ids.where(unit_hash(seed, F.col("doc_id")) < take).distinct())
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id"), counts
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for further columns that the frame does not have: the given ones, lengthened where they are taken."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch; batches for which it gives None vanish."""
 
@@ -62,4 +91,4 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
-__all__ = ["ORACLES", "QUERIES", "arrow_map", "bounded_sample", "cut_lineage", "discard", "fold", "query", "remove_folder", "scratch_folder", "table", "unit_hash"]
+__all__ = ["ORACLES", "QUERIES", "arrow_map", "bounded_sample", "cut_lineage", "discard", "fold", "labelled_sample", "query", "remove_folder", "scratch_folder", "table", "unit_hash", "unused"]

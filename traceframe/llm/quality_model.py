@@ -15,9 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceframe.llm.common import arrow_map, bounded_sample, fold, query, table, unit_hash
+from traceframe.llm.common import arrow_map, bounded_sample, fold, labelled_sample, query, table, unit_hash
 from traceframe.llm.spans import Texts, passes
-from traceframe.llm.toxicity import training_rows
 
 BUCKETS = 1 << 12
 SIZE = 32
@@ -131,13 +130,19 @@ def _temperature(s: np.ndarray, y: np.ndarray) -> float:
     return float(min(np.exp(np.linspace(-2, 3, 101)), key=lambda t: np.mean(np.logaddexp(0, s / t) - y * s / t)))
 
 
-def fit(labelled: DataFrame, vectors: np.ndarray, text: str = "text", label: str = "label", key: str = "doc_id", sample: int = SAMPLE, seed: int = 21) -> dict | None:
-    """The calibrated network, or None without rows of both labels. Only pooled vectors of the sample reach the driver."""
+def fit(labelled: DataFrame, vectors: np.ndarray, text: str = "text", label: str = "label", key: str = "doc_id", sample: int = SAMPLE, seed: int = 21, counts: dict[int, int] | None = None) -> dict | None:
+    """The calibrated network, or None without rows of both labels. Only pooled vectors of the sample reach the driver.
+
+    counts: rows of each label where ``labelled`` is a sample already, of ``labelled_sample``. Null texts count as empty ones,
+    rows that repeat count each, other columns are not read.
+    """
+    sampled = counts is not None
     labelled = labelled.where(F.col(label).isin(0, 1))
-    counts = {r[label]: r["n"] for r in labelled.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    if not sampled:
+        counts = {r[label]: r["n"] for r in labelled.groupBy(label).agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
-    chosen = bounded_sample(labelled, label, F.col(key), sample, seed)
+    chosen = labelled if sampled else bounded_sample(labelled, label, F.col(key), sample, seed)
     rows = pooled(chosen.select(text, F.col(label).alias("y"), (unit_hash(seed + 1, F.col(key)) < 0.2).alias("aside"), F.col(key).alias("k")), vectors, text).drop(text).collect()
     rows.sort(key=lambda r: (r["k"], r["pooled"]))
     x, y, aside = np.array([r["pooled"] for r in rows]), np.array([r["y"] for r in rows], float), np.array([r["aside"] for r in rows])
@@ -184,6 +189,7 @@ def score(docs: DataFrame, vectors: np.ndarray, net: dict | None, text: str = "t
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     vectors = word_vectors(docs)
-    net = fit(training_rows(docs, table(spark, sf_dir, "labels"), "quality", 3, 1), vectors)
+    rows, counts = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", 3, 1, SAMPLE, 21)
+    net = fit(rows, vectors, counts=counts)
     scored = score(docs.select("doc_id", "text"), vectors, net, name="score")
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

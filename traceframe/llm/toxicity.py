@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceframe.llm.common import arrow_map, bounded_sample, fold, query, table
+from traceframe.llm.common import arrow_map, bounded_sample, fold, labelled_sample, query, table
 from traceframe.llm.spans import Texts, mix, passes, starts_of
 
 #: Labelled rows of each label that the model is fitted on, at most (in expectation).
@@ -22,6 +22,8 @@ SAMPLE = 4000
 #: Features that occur in fewer rows of the sample are not learned.
 LEAST_ROWS = 4
 WEIGHTS = 1 << 16
+#: Score of every text where nothing could be learned.
+UNLEARNED = 0.25
 _U = np.uint64
 _WORD = np.zeros(256, np.int8)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = 1
@@ -72,13 +74,19 @@ def train(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 0.3, beta:
     return w[:-1], float(w[-1])
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample: int = SAMPLE, seed: int = 11) -> tuple[np.ndarray, np.ndarray, float]:
-    """Feature hashes (sorted), their weights, and the intercept. Without rows of both labels every score is 0.5."""
+def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample: int = SAMPLE, seed: int = 11, counts: dict[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Feature hashes (sorted), their weights, and the intercept. Without rows of both labels every score is 0.5.
+
+    counts: rows of each label where ``labelled`` is a sample already, of ``labelled_sample``. Null texts count as empty ones;
+    rows that repeat count each; an empty table teaches nothing; other columns are not read.
+    """
+    sampled = counts is not None
     labelled = labelled.where(F.col(label).isin(0, 1))
-    counts = {r[label]: r["n"] for r in labelled.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    if not sampled:
+        counts = {r[label]: r["n"] for r in labelled.groupBy(label).agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return np.zeros(0, np.uint64), np.zeros(0), 0.0
-    chosen = bounded_sample(labelled, label, F.col(key), sample, seed).select(F.col(text).cast("string").alias("text"), F.col(label).cast("int").alias("label"))
+    chosen = (labelled if sampled else bounded_sample(labelled, label, F.col(key), sample, seed)).select(F.col(text).cast("string").alias("text"), F.col(label).cast("int").alias("label"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, labels = [], []
@@ -145,17 +153,18 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
     return arrow_map(docs.withColumn(text, F.col(text).cast("string")), judge, schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
-    """(doc_id, text, label) of the labelled documents outside the held-out fold."""
-    given = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
-    given = given.groupBy("doc_id").agg(F.max(label).alias("label"))
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).where(fold(F.col("doc_id"), folds) != held_out).join(given, "doc_id")
+def fit_labels(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, sample: int = SAMPLE, seed: int = 11) -> tuple[np.ndarray, np.ndarray, float]:
+    """``fit`` on the labelled documents outside the held-out fold."""
+    rows, counts = labelled_sample(docs, labels, label, folds, held_out, sample, seed)
+    return fit(rows, sample=sample, counts=counts)
 
 
 @query("op1_toxicity")
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents; none is predicted toxic where the labels teach nothing."""
+    """Scores of all documents; where the labels teach nothing all have the same, ``UNLEARNED`` at most."""
     docs = table(spark, sf_dir, "documents")
-    model = fit(training_rows(docs, table(spark, sf_dir, "labels"), "toxic", 5, 0))
+    model = fit_labels(docs, table(spark, sf_dir, "labels"))
     scored = score(docs.select("doc_id", "text"), model, name="score")
-    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.lit(learned(model)) & (F.col("score") >= 0.5)).cast("int").alias("predicted"))
+    if not learned(model):
+        scored = scored.withColumn("score", F.least("score", F.lit(UNLEARNED)))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
