@@ -17,15 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceframe.llm.common import cut_lineage, query, table, unit_hash
+from traceframe.llm.common import cut_lineage, discard, query, table, unit_hash
 from traceframe.llm.links import components, local_labels
 
 #: Vectors the centres are fitted on, at most (in expectation).
 SAMPLE = 20_000
 #: Vectors in a cell, on average, and in a block of a cell.
 CELL, BLOCK = 4096, 2048
-#: Centres at most; they are sent to all tasks.
+#: Centres at most, of all lengths of vectors together; they are sent to all tasks.
 CELLS = 4096
+#: Vectors that one product with the centres holds.
+ROWS = 1024
 #: Added to r against rounding; cosines are always computed exactly.
 MARGIN = 1e-6
 
@@ -35,7 +37,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 9) ->
     random = np.random.default_rng(seed)
     centres = x[random.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        own = np.argmax(x @ centres.T, 1)
+        own = np.concatenate([np.argmax(x[at : at + ROWS] @ centres.T, 1) for at in range(0, len(x), ROWS)])
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
         length = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -51,29 +53,60 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _cells(vectors: DataFrame, centres: np.ndarray, radius: float) -> DataFrame:
-    """(cell, home, vec_id, vector, weight): a row for the home cell and one for each lower-numbered cell within reach."""
+def _cells(vectors: DataFrame, centres: dict[int, np.ndarray], radius: float) -> DataFrame:
+    """(size, cell, home, vec_id, vector, weight): a row for the home cell and one for each lower-numbered cell within reach.
+
+    centres: by length of the vectors; all vectors of a length without centres share one cell.
+    """
     sent = vectors.sparkSession.sparkContext.broadcast(centres)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = sent.value
-        apart = np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2) if len(c) <= 512 else None
         for batch in batches:
-            for row in range(0, len(batch), 1024):
-                part = batch.slice(row, 1024)
-                x = _matrix(part.column("vector"))
-                near = x @ c.T
-                home = near.argmax(1)
-                distance = apart[home] if apart is not None else np.linalg.norm(c[home][:, None, :] - c[None], axis=2)
-                reach = (near.max(1)[:, None] - near) <= radius * distance
-                reach &= np.arange(len(c))[None, :] < home[:, None]
-                reach[np.arange(len(x)), home] = True
-                at, cell = np.nonzero(reach)
-                taken = part.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(cell == home[at]), taken.column("vec_id"), taken.column("vector"), taken.column("weight")], names=["cell", "home", "vec_id", "vector", "weight"])
+            lengths = batch.column("vector").value_lengths().to_numpy(zero_copy_only=False)
+            for size in np.unique(lengths):
+                rows = np.flatnonzero(lengths == size)
+                c = sent.value.get(int(size))
+                for first in range(0, len(rows), ROWS):
+                    part = batch.take(pa.array(rows[first : first + ROWS]))
+                    home = np.zeros(len(part), np.int64)
+                    reach = np.ones((len(part), 1), bool)
+                    if c is not None:
+                        near = _matrix(part.column("vector")) @ c.T
+                        home = near.argmax(1)
+                        # centres have length 1; a little more against rounding
+                        distance = np.sqrt(np.maximum(2 - 2 * (c[home] @ c.T), 0)) + MARGIN
+                        reach = (near.max(1)[:, None] - near) <= radius * distance
+                        reach &= np.arange(len(c))[None, :] < home[:, None]
+                        reach[np.arange(len(part)), home] = True
+                    at, cell = np.nonzero(reach)
+                    taken = part.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size, np.int32)), pa.array(cell, pa.int32()), pa.array(cell == home[at]), taken.column("vec_id"), taken.column("vector"), taken.column("weight")], names=["size", "cell", "home", "vec_id", "vector", "weight"])
 
     kind = vectors.schema["vector"].dataType.simpleString()
-    return vectors.mapInArrow(assign, f"cell int, home boolean, vec_id bigint, vector {kind}, weight bigint")
+    return vectors.mapInArrow(assign, f"size int, cell int, home boolean, vec_id bigint, vector {kind}, weight bigint")
+
+
+def _centres(vectors: DataFrame, cell: int) -> dict[int, np.ndarray]:
+    """Centres of each length of vectors that needs more than one cell.
+
+    A length gets centres in proportion to its vectors, ``CELLS`` for all; at most half as many lengths get two or more.
+    """
+    sizes = vectors.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n"))
+    n = sizes.agg(F.sum("n")).first()[0] or 0
+    wanted = {}
+    for r in sizes.where(F.col("n") > max(cell, 2 * n / CELLS)).orderBy(F.desc("n")).limit(CELLS // 2).collect():
+        wanted[r["size"]] = (r["n"], min(math.ceil(r["n"] / cell), math.ceil(CELLS * r["n"] / n)))
+    if not wanted:
+        return {}
+    share = min(1.0, SAMPLE / sum(m for m, _ in wanted.values()))
+    taken = vectors.where(F.size("vector").isin(*wanted)).where(unit_hash(17, F.col("vec_id")) < share).select("vector").toArrow().column("vector").combine_chunks()
+    lengths = taken.value_lengths().to_numpy(zero_copy_only=False)
+    out = {}
+    for size, (_, k) in wanted.items():
+        own = np.flatnonzero(lengths == size)
+        if min(k, len(own)) > 1:
+            out[size] = spherical_kmeans(_matrix(taken.take(pa.array(own))), min(k, len(own)))
+    return out
 
 
 def _compare(threshold: float):
@@ -115,28 +148,19 @@ def near_groups(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_i
     # one vector for all that are equal
     equal = cut_lineage(good.groupBy("vector").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")))
     same = good.join(equal.select("vector", F.col("vec_id").alias("to")), "vector").select("vec_id", "to")
-    links = counts = None
-    for size in sorted(r["n"] for r in equal.select(F.size("vector").alias("n")).distinct().limit(64).collect()):
-        own = equal.where(F.size("vector") == size)
-        n = own.count()
-        taken = own.where(unit_hash(17, F.col("vec_id")) < min(1.0, SAMPLE / n)).select("vector").toArrow()
-        k = max(1, min(CELLS, math.ceil(n / cell), len(taken)))
-        fitted = _matrix(taken.column("vector").combine_chunks()) if len(taken) else np.eye(1, size)
-        placed = cut_lineage(_cells(own, spherical_kmeans(fitted, k), math.sqrt(2 - 2 * threshold) + MARGIN))
-        blocks = placed.groupBy("cell").agg(F.ceil(F.count_if("home") / block).cast("int").alias("homes"), F.ceil(F.count_if(~F.col("home")) / block).cast("int").alias("guests"))
-        at = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests"))).cast("int")
-        rows = placed.join(blocks, "cell").withColumn("at", at)
-        # home blocks meet each other once and every block of guests; side 0: left, 1: right, 2: both
-        to = F.when(F.col("home"), F.concat(
-            F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda j: F.struct(F.least("at", j).alias("a"), F.greatest("at", j).alias("b"), F.lit(True).alias("inner"), F.when(j == F.col("at"), 2).when(j > F.col("at"), 0).otherwise(1).alias("home_side"))),
-            F.when(F.col("guests") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("guests") - 1, F.lit(0))), lambda j: F.struct(F.col("at").alias("a"), j.alias("b"), F.lit(False).alias("inner"), F.lit(0).alias("home_side")))).otherwise(F.expr("array()")),
-        )).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.col("homes") - 1, F.lit(0))), lambda j: F.struct(j.alias("a"), F.col("at").alias("b"), F.lit(False).alias("inner"), F.lit(1).alias("home_side"))))
-        pairs = rows.select("cell", "vec_id", "vector", "weight", F.explode(to).alias("p")).select("cell", "p.*", "vec_id", "vector", "weight")
-        found = cut_lineage(pairs.groupBy("cell", "a", "b", "inner").applyInArrow(_compare(threshold), "vec_id bigint, to bigint, n bigint"))
-        links = found if links is None else links.union(found)
+    placed = cut_lineage(_cells(equal, _centres(equal, cell), math.sqrt(2 - 2 * threshold) + MARGIN))
+    blocks = placed.groupBy("size", "cell").agg(F.ceil(F.count_if("home") / block).cast("int").alias("homes"), F.ceil(F.count_if(~F.col("home")) / block).cast("int").alias("guests"))
+    at = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests"))).cast("int")
+    rows = placed.join(blocks, ["size", "cell"]).withColumn("at", at)
+    # home blocks meet each other once and every block of guests; side 0: left, 1: right, 2: both
+    to = F.when(F.col("home"), F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda j: F.struct(F.least("at", j).alias("a"), F.greatest("at", j).alias("b"), F.lit(True).alias("inner"), F.when(j == F.col("at"), 2).when(j > F.col("at"), 0).otherwise(1).alias("home_side"))),
+        F.when(F.col("guests") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("guests") - 1, F.lit(0))), lambda j: F.struct(F.col("at").alias("a"), j.alias("b"), F.lit(False).alias("inner"), F.lit(0).alias("home_side")))).otherwise(F.expr("array()")),
+    )).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.col("homes") - 1, F.lit(0))), lambda j: F.struct(j.alias("a"), F.col("at").alias("b"), F.lit(False).alias("inner"), F.lit(1).alias("home_side"))))
+    pairs = rows.select("size", "cell", "vec_id", "vector", "weight", F.explode(to).alias("p")).select("size", "cell", "p.*", "vec_id", "vector", "weight")
+    links = cut_lineage(pairs.groupBy("size", "cell", "a", "b", "inner").applyInArrow(_compare(threshold), "vec_id bigint, to bigint, n bigint"))
+    discard(placed)
     own_id = given.select("vec_id")
-    if links is None:
-        return own_id.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     edges = links.select(F.col("vec_id").alias("a"), F.col("to").alias("b")).union(same.select(F.col("vec_id").alias("a"), F.col("to").alias("b")))
     group = components(edges.where("a <> b"))
     weights = equal.select(F.col("vec_id").alias("to"), "weight")
