@@ -2,8 +2,9 @@
 
 ``text_stats`` counts words, symbols, repeated lines and repeated passages of whole texts. ``robust_outliers`` takes
 transformed statistics and estimates their centre and scatter in each group (language, source) by the minimum
-covariance determinant: starting from medians, concentration steps fit mean and covariance to the ``support`` share of
-rows nearest to the last estimate. All steps are grouped aggregations; what they yield is one small row a group.
+covariance determinant: from several starts, concentration steps fit mean and covariance to the ``support`` share of
+rows nearest to the last estimate until the determinant no longer falls, and the least determinant wins. All steps are
+grouped aggregations; what they yield is one small row a group and start.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceframe.llm.common import arrow_map, cut_lineage, query, table
+from traceframe.llm.common import arrow_map, cut_lineage, discard, query, table, unused
 from traceframe.llm.spans import Texts, mix, passes, windows
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -116,7 +117,7 @@ def _estimates(rows: DataFrame, group: list[str], weight: Column) -> DataFrame:
 
 
 def _model(sums: DataFrame, group: list[str], scale: float) -> DataFrame:
-    """Means and the inverse of the scatter from the sums of one row a group."""
+    """Count, means, inverse of the scatter and logarithm of its determinant from the sums of one row a group."""
     p = len(FEATURES)
 
     def solve(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -132,17 +133,17 @@ def _model(sums: DataFrame, group: list[str], scale: float) -> DataFrame:
         cov = cov * scale + np.diag(np.square(FLOORS))
         inverse = np.linalg.inv(cov)
         columns = [batch.column(g) for g in group]
-        columns += [pa.array(list(mean), pa.list_(pa.float64())), pa.array([list(m.ravel()) for m in inverse], pa.list_(pa.float64()))]
-        return pa.RecordBatch.from_arrays(columns, names=[*group, "_mean", "_inverse"])
+        columns += [pa.array(list(mean), pa.list_(pa.float64())), pa.array([list(m.ravel()) for m in inverse], pa.list_(pa.float64())), pa.array(np.linalg.slogdet(cov)[1])]
+        return pa.RecordBatch.from_arrays(columns, names=[*group, "_mean", "_inverse", "_det"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.select(*group).schema)
-    return arrow_map(sums, solve, f"{kinds}, _mean array<double>, _inverse array<double>")
+    return arrow_map(sums, solve, f"{kinds}, _mean array<double>, _inverse array<double>, _det double")
 
 
-def _distance(mean: Column, inverse: Column) -> Column:
-    """Squared Mahalanobis distance of the features."""
+def _distance(mean: Column, inverse: Column, given: dict[str, Column] | None = None) -> Column:
+    """Squared Mahalanobis distance of the features, which are columns unless given."""
     p = len(FEATURES)
-    d = [F.col(f) - mean[i] for i, f in enumerate(FEATURES)]
+    d = [(given[f] if given else F.col(f)) - mean[i] for i, f in enumerate(FEATURES)]
     return sum((d[i] * d[j] * inverse[i * p + j] for i in range(p) for j in range(p)), F.lit(0.0))
 
 
@@ -154,44 +155,80 @@ def chi_square_cut(share: float, degrees: int) -> float:
     return degrees * (1 - a + NormalDist().inv_cdf(share) * math.sqrt(a)) ** 3
 
 
-def robust_outliers(
-    stats: DataFrame, group: tuple[str, ...] = ("lang", "source"), support: float = 0.75, steps: int = 3, quantile: float = 0.9999, least: int = 50, accuracy: int = 1000
-) -> DataFrame:
-    """Adds ``distance`` (squared, robust) and ``outlier`` to rows with the counts of ``text_stats``.
+def estimates(clean: DataFrame, groups: Column, support: float = 0.75, most_steps: int = 30, accuracy: int = 10_000) -> DataFrame:
+    """(_g, _rows, _mean, _inverse): the minimum-covariance-determinant estimate of each group, one row a group.
 
-    Rows that fail the base rules take no part in the estimates. A group with fewer than ``least`` other rows, and a null
-    group, uses the estimate of all rows; an empty table gives an empty result. Groups of any size are folded by partial
-    sums, so no task sees a whole group.
+    groups: an array of the names of the groups that a row counts in. Each group starts from three estimates: medians with
+    quartile spreads, means with covariances, and medians with the covariance of directions (spatial signs), which is
+    blind to how far out a row lies. Concentration steps go on until no determinant falls by more than a ten-thousandth;
+    the start that ends with the least one wins. The scatter has the squared ``FLOORS`` on its diagonal throughout, so
+    determinants are never zero and steps never raise them.
     """
-    group_by = [f"_g{i}" for i in range(len(group))]
-    keyed = stats.withColumns({g: F.coalesce(F.col(c).cast("string"), F.lit("")) for g, c in zip(group_by, group)}).withColumns(features())
-    clean = keyed.where(~base_failed()).select(*group_by, *FEATURES)
-    sized = clean.groupBy(*group_by).agg(F.count("*").alias("_rows")).where(F.col("_rows") >= least).drop("_rows")
-    # every row is counted under its own group when that is large enough, and under the pool of all rows
-    pooled = clean.join(sized, group_by, "left_semi").unionByName(clean.withColumns({g: F.lit("\x00all") for g in group_by}))
-    medians = pooled.groupBy(*group_by).agg(*(F.percentile_approx(f, F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75))), accuracy).alias(f"_p{i}") for i, f in enumerate(FEATURES)))
     p = len(FEATURES)
+    rows = clean.select(F.explode(groups).alias("_g"), *FEATURES)
+    medians = rows.groupBy("_g").agg(F.count("*").alias("_rows"), *(F.percentile_approx(f, F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75))), accuracy).alias(f"_p{i}") for i, f in enumerate(FEATURES)))
+    medians = cut_lineage(medians)
     spread = [F.greatest(F.pow((F.col(f"_p{i}")[2] - F.col(f"_p{i}")[0]) / 1.349, F.lit(2)), F.lit(FLOORS[i] ** 2)) for i in range(p)]
-    model = medians.select(
-        *group_by, F.array(*(F.col(f"_p{i}")[1] for i in range(p))).alias("_mean"),
-        F.array(*((1 / spread[i]) if i == j else F.lit(0.0) for i in range(p) for j in range(p))).alias("_inverse"),
+    quartiles = medians.select(
+        "_g", F.lit(0).alias("_start"), F.array(*(F.col(f"_p{i}")[1] for i in range(p))).alias("_mean"),
+        F.array(*((1 / spread[i]) if i == j else F.lit(0.0) for i in range(p) for j in range(p))).alias("_inverse"), F.lit(float("inf")).alias("_det"),
     )
+    all_rows = _model(_estimates(rows.withColumn("_start", F.lit(1)), ["_g", "_start"], F.lit(1.0)), ["_g", "_start"], 1.0)
+    # directions from the median, on the scale of the quartiles; the sums below are those of unit vectors around it
+    away = rows.join(medians.select("_g", *(F.col(f"_p{i}")[1].alias(f"_c{i}") for i in range(p)), *(F.sqrt(spread[i]).alias(f"_d{i}") for i in range(p))), "_g")
+    length = F.greatest(F.sqrt(sum(((F.col(f) - F.col(f"_c{i}")) / F.col(f"_d{i}")) ** 2 for i, f in enumerate(FEATURES))), F.lit(1e-9))
+    signs = away.select("_g", F.lit(2).alias("_start"), *((F.col(f"_c{i}") + (F.col(f) - F.col(f"_c{i}")) / length * math.sqrt(p)).alias(f) for i, f in enumerate(FEATURES)))
+    signs = _model(_estimates(signs, ["_g", "_start"], F.lit(1.0)), ["_g", "_start"], 1.0).withColumn("_det", F.lit(float("inf")))
     # covariance of the nearest share of a normal sample is too small by this factor
-    inner = chi_square_cut(support, p)
-    scale = support / _chi_square_share(inner, p + 2)
-    for _ in range(steps):
-        model = cut_lineage(model)
-        near = pooled.join(model, group_by).withColumn("_d", _distance(F.col("_mean"), F.col("_inverse")))
-        cut = near.groupBy(*group_by).agg(F.percentile_approx("_d", F.lit(support), accuracy).alias("_cut"))
-        inside = near.join(cut, group_by)
-        model = _model(_estimates(inside, group_by, F.when(F.col("_d") <= F.col("_cut"), 1.0).otherwise(0.0)), group_by, scale)
-    model = cut_lineage(model)
-    own = model.select(*group_by, F.col("_mean").alias("_m1"), F.col("_inverse").alias("_i1"))
-    every = model.where(F.col("_g0") == "\x00all").select(F.col("_mean").alias("_m0"), F.col("_inverse").alias("_i0"), F.lit(1).alias("_one"))
-    joined = keyed.withColumn("_one", F.lit(1)).join(own, group_by, "left").join(every, "_one", "left")
-    distance = _distance(F.coalesce("_m1", "_m0"), F.coalesce("_i1", "_i0"))
-    cut = chi_square_cut(quantile, p)
-    return joined.withColumn("distance", F.coalesce(distance, F.lit(0.0))).withColumn("outlier", F.col("distance") > cut).drop(*group_by, "_one", "_m0", "_m1", "_i0", "_i1", *FEATURES)
+    scale = support / _chi_square_share(chi_square_cut(support, p), p + 2)
+    model = quartiles.unionByName(all_rows.withColumn("_det", F.lit(float("inf")))).unionByName(signs)
+    model, settled = cut_lineage(model.withColumn("_moving", F.lit(True))), None
+    for _ in range(most_steps):
+        moving = model.where("_moving")
+        near = rows.join(moving, "_g").withColumn("_d", _distance(F.col("_mean"), F.col("_inverse")))
+        cut = near.groupBy("_g", "_start").agg(F.percentile_approx("_d", F.lit(support), accuracy).alias("_cut"))
+        inside = near.join(cut, ["_g", "_start"])
+        step = _model(_estimates(inside, ["_g", "_start"], F.when(F.col("_d") <= F.col("_cut"), 1.0).otherwise(0.0)), ["_g", "_start"], scale)
+        step = step.join(moving.select("_g", "_start", F.col("_det").alias("_was")), ["_g", "_start"]).withColumn("_moving", F.col("_det") < F.col("_was") - 1e-4)
+        after = cut_lineage(model.where("not _moving").unionByName(step.drop("_was")))
+        discard(model)
+        model = after
+        if not model.where("_moving").limit(1).count():
+            break
+    best = model.groupBy("_g").agg(F.min_by(F.struct("_mean", "_inverse"), F.struct("_det", "_start")).alias("_best"))
+    return best.join(medians.select("_g", "_rows"), "_g").select("_g", "_rows", "_best._mean", "_best._inverse")
+
+
+#: Name of the group of all rows; group names of rows begin with another character.
+POOL = "*"
+
+
+def robust_outliers(
+    stats: DataFrame, group: tuple[str, ...] = ("lang", "source"), support: float = 0.75, quantile: float = 0.9999, least: int = 50, accuracy: int = 10_000
+) -> DataFrame:
+    """Adds ``distance`` (squared, robust) and ``outlier`` to rows with the counts of ``text_stats`` and the columns ``group``.
+
+    Rows that fail the base rules take no part in the estimates. A group (nulls are equal and form one) with fewer than
+    ``least`` other rows uses the estimate of all rows; an empty table gives an empty result, and where all rows fail, all
+    distances are 0. Groups of any size are folded by partial sums, so no task sees a whole group; rows that repeat count
+    each. Columns named distance or outlier are replaced, all others stay.
+    """
+    own, _ = unused(stats, "_g", "_rows")
+    name = F.concat(F.lit("="), F.to_json(F.struct(*(F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(group)))))
+    given = stats.withColumn(own, name)
+    clean = given.where(~base_failed()).select(F.col(own).alias("_own"), *(c.alias(n) for n, c in features().items()))
+    model = cut_lineage(estimates(clean, F.array(F.col("_own"), F.lit(POOL)), support=support, accuracy=accuracy))
+    # the estimate of all rows is one row of known size
+    pool = model.where(F.col("_g") == POOL).first()
+    mean, inverse = unused(given, "_mean", "_inverse")
+    groups = model.where((F.col("_rows") >= least) & (F.col("_g") != POOL)).select(F.col("_g").alias(own), F.col("_mean").alias(mean), F.col("_inverse").alias(inverse))
+    joined = given.join(groups, own, "left")
+    distance = F.lit(0.0)
+    if pool:
+        literal = lambda values: F.array(*(F.lit(float(v)) for v in values))
+        distance = _distance(F.coalesce(mean, literal(pool["_mean"])), F.coalesce(inverse, literal(pool["_inverse"])), features())
+    cut = chi_square_cut(quantile, len(FEATURES))
+    return joined.withColumn("distance", distance).withColumn("outlier", F.col("distance") > cut).drop(own, mean, inverse)
 
 
 def _chi_square_share(x: float, degrees: int) -> float:
@@ -203,7 +240,11 @@ def _chi_square_share(x: float, degrees: int) -> float:
 
 
 def quality_rules(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, the counts, ``base_failed``, ``distance``, ``kept``: neither failed by the base rules nor an outlier."""
+    """doc_id, the counts, ``base_failed``, ``distance``, ``kept``: neither failed by the base rules nor an outlier.
+
+    docs has doc_id, text, lang and source; any of them may be null. Null and empty texts fail the base rules, very long ones
+    are counted whole, rows that repeat are judged each, an empty table gives none. Other columns are not read.
+    """
     stats = cut_lineage(text_stats(docs))
     judged = robust_outliers(stats, **options).withColumn("base_failed", base_failed())
     return judged.select("doc_id", *STATS, "base_failed", "distance", (~F.col("base_failed") & ~F.col("outlier")).alias("kept"))
