@@ -278,9 +278,9 @@ def read_bundles(spark: SparkSession, folder: str, payloads: bool = True) -> Dat
                     yield _batch(rows)
                 reader.close()
 
-    # bundles are few rows of much work: a fixed number of partitions, which no size estimate merges
+    # bundles are few rows of much work: dealt evenly to a fixed number of partitions, which no size estimate merges
     partitions = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return open_index(spark, folder).select("bundle").distinct().repartition(partitions, "bundle").mapInArrow(read, _OUT)
+    return open_index(spark, folder).select("bundle").distinct().repartition(partitions).mapInArrow(read, _OUT)
 
 
 def fetch(spark: SparkSession, folder: str, wanted: DataFrame, page_id: str = "page_id") -> DataFrame:
