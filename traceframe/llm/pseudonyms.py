@@ -10,12 +10,16 @@ begin at each place, the longest run that passes the Luhn test is a card, and a
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceframe.llm.common import query, table
+from traceframe.llm.common import query, table, unused
 
 ROUNDS = 10
+#: Key of the registered queries, whose results are to be repeatable; it hides nothing from who knows it.
+PUBLIC = "public key of the queries"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 SECRET = r"""(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=(?i:password|passwd|secret|token|api_key)[ ]{0,2}[=:][ ]{0,2}["']{0,1})[^\s"'|]{6,}"""
 DATE = r"(?<![\d.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d-]|\.\d)"
@@ -150,22 +154,27 @@ def pseudonym(text: Column, secret: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, secret: str = "change-me", text: str = "text", name: str = "n_private") -> DataFrame:
+def pseudonymise(docs: DataFrame, secret: str | None = None, text: str = "text", name: str = "n_private") -> DataFrame:
     """Rewrites the text column and adds the number of values found (with those that failed validation and stay).
 
-    A null text stays null with count 0. All other columns stay; a column named like the count is replaced. Dates count
-    as dates from 1900 to 2099; others, impossible dates, cards that fail the Luhn test and addresses above 255 stay.
+    secret: the key; equal values stay linked across calls that share it. Without one, a random key that is kept nowhere links
+    them within this call only. A null text stays null with count 0, an empty one empty; very long texts are rewritten whole,
+    rows that repeat are rewritten alike, an empty table gives none. All other columns stay, whatever their names; a column
+    named like the count is replaced. Dates count as dates from 1900 to 2099; others, impossible dates, cards that fail the
+    Luhn test and addresses above 255 stay.
     """
+    secret = secret or uuid.uuid4().hex
     column = F.col(text).cast("string")
+    pattern, values = unused(docs, "_found", "_values")
     # nothing below is evaluated for the many texts that no pattern can match
     rare = column.rlike(GATE)
-    found = docs.withColumn("_found", F.when(rare, _found(_cards(column))))
-    found = found.withColumn("_values", F.when(F.col("_found").isNotNull(), F.regexp_extract_all(column, F.col("_found"), 0)))
-    between = F.split(column, F.col("_found"), -1)
-    pieces = F.zip_with(between, F.transform("_values", lambda v: pseudonym(v, secret)), lambda p, v: F.concat(F.coalesce(p, F.lit("")), F.coalesce(v, F.lit(""))))
-    return found.withColumn(text, F.when(F.size("_values") > 0, F.array_join(pieces, "")).otherwise(column)).withColumn(name, F.coalesce(F.greatest(F.size("_values"), F.lit(0)), F.lit(0))).drop("_values", "_found")
+    found = docs.withColumn(pattern, F.when(rare, _found(_cards(column))))
+    found = found.withColumn(values, F.when(F.col(pattern).isNotNull(), F.regexp_extract_all(column, F.col(pattern), 0)))
+    between = F.split(column, F.col(pattern), -1)
+    pieces = F.zip_with(between, F.transform(values, lambda v: pseudonym(v, secret)), lambda p, v: F.concat(F.coalesce(p, F.lit("")), F.coalesce(v, F.lit(""))))
+    return found.withColumn(text, F.when(F.size(values) > 0, F.array_join(pieces, "")).otherwise(column)).withColumn(name, F.coalesce(F.greatest(F.size(values), F.lit(0)), F.lit(0))).drop(values, pattern)
 
 
 @query("op9_pseudonyms")
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), secret=PUBLIC)
