@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceframe.operators.ordered import context_before, number_chunk, number_rows, ordered_scan
+from traceframe.operators.ordered import CHUNK_ROWS, context_before, number_chunk, number_rows, ordered_scan
 
 # Texts that decide what a line is. They must not change for results to stay the same.
 TRACEBACK_MARK = "Traceback (most recent call last)"
@@ -88,21 +88,55 @@ class LinePattern:
     type_group: int = 0
     message_group: int = 0
     app_group: int = 0  # version and process follow it
+    severity_group: int = 0
 
     @classmethod
     def named(cls, name: str, regex: str, ignore_case: bool = True) -> LinePattern:
-        """User pattern with ``(?P<exception_type>…)``, ``(?P<message>…)``, ``(?P<app_name>…)``."""
-        groups = re.compile(regex).groupindex
-        java = re.sub(r"\(\?P<\w+>", "(", regex)
+        """User pattern with ``(?P<exception_type>…)``, ``(?P<message>…)``, ``(?P<app_name>…)``, ``(?P<severity>…)``."""
+        groups = dict(re.compile(regex).groupindex)
         return cls(
             name,
-            ("(?i)" if ignore_case else "") + java,
+            ("(?i)" if ignore_case else "") + numbered_groups(regex, groups),
             groups.get("exception_type", 0),
             groups.get("message", 0),
             groups.get("app_name", 0),
+            groups.get("severity", 0),
         )
 
 
+def numbered_groups(regex: str, groups: dict[str, int]) -> str:
+    """The regex with groups and references by number: names may hold what Java's names may not.
+
+    ``(?P<n>…)`` becomes a plain group and ``(?P=n)`` the reference to its number, closed off so that a digit
+    behind it is not read as part of it. Escaped characters and character classes stay as they are.
+    """
+    out, at, inside = [], 0, False
+    while at < len(regex):
+        if regex[at] == "\\":
+            out.append(regex[at : at + 2])
+            at += 2
+            continue
+        if not inside and (opened := re.compile(r"\(\?P<\w+>").match(regex, at)):
+            out.append("(")
+            at = opened.end()
+            continue
+        if not inside and (named := re.compile(r"\(\?P=(\w+)\)").match(regex, at)):
+            out.append(f"(?:\\{groups[named[1]]})")
+            at = named.end()
+            continue
+        if regex[at] == "[" and not inside:
+            # a bracket right behind the opening one (or behind its ^) is a member
+            first = re.compile(r"\[\^?\]?").match(regex, at)
+            out.append(first[0].replace("]", r"\]"))
+            at, inside = first.end(), True
+            continue
+        if regex[at] == "]":
+            inside = False
+        out.append(r"\[" if inside and regex[at] == "[" else regex[at])
+        at += 1
+    return "".join(out)
+
+
 STREAM_PATTERNS = (
     LinePattern("app_python_traceback_start", "(?i)" + APP_PREFIX + r"(Traceback)\s*\(most recent call last\):", 4, 0, 1),
     LinePattern("app_python_exception", "(?i)" + APP_PREFIX + r"(\w+(?:Exception|Error)):\s*([^\n]*)", 4, 5, 1),
@@ -111,6 +145,9 @@ STREAM_PATTERNS = (
     LinePattern(FILE_NAME, "(?i)" + FILE_REF),
     LinePattern("python_exception", "(?i)(" + "|".join(BUILTIN_TYPES) + r"):\s*([^\n]*)", 1, 2),
 )
+APP_FIELDS = ("app_name", "version", "process")
+PREFIXED_START = "(?i)" + APP_PREFIX + r"(Traceback)\s*\(most recent call last\):"
+PREFIXED_FILE = "(?i)" + APP_PREFIX + FILE_REF
 PREFIXED_PATTERNS = tuple(
     LinePattern(name, f"(?i){APP_PREFIX}({types}):" + r"\s*([^\n]*)", 4, 5, 1) for name, types in PREFIXED_TYPES
 )
@@ -155,6 +192,7 @@ def first_match(line: Column, patterns: Sequence[LinePattern], guard: Column | N
             app[0].alias("app_name"),
             app[1].alias("version"),
             app[2].alias("process"),
+            (F.nullif(F.upper(group(p.severity_group)), F.lit("")) if p.severity_group else absent).alias("severity"),
         )
 
     hit = None
@@ -197,6 +235,57 @@ def detect_prefixed(lines: DataFrame, line: str = "line") -> DataFrame:
     return evaluate_once(lines, F.struct(hit.alias("hit"))).where(F.col("hit").isNotNull())
 
 
+def prefixed_events(lines: DataFrame, key: str = "stream_id", order: str = "line_no") -> DataFrame:
+    """Trace-aware form of the prefixed detector: ``traceback_start``, ``python_file`` and ``python_exception`` events.
+
+    Per event: type, pattern, exception_type, message, filename, line_number, app_name, version, process, trace_start (null
+    outside of a trace), log_line. Lines that are not Python-related neither count nor change anything. A traceback line opens
+    a trace, also inside an open one; in a trace a file line gives file name and line number and never ends it; a prefixed
+    exception ends it. In a trace the app is that of the last prefixed traceback line since the trace before ended, and
+    unknown (null) without one; outside it is the exception's own.
+
+    What a line does to the state is to set it or to leave it, so a chunk of lines comes down to the last thing that one
+    of them set, and chunks are composed by a scan: no stream is in one task, however long a trace is.
+    """
+    text, place = F.col("line"), F.col(order).cast("long")
+    is_start = text.contains(TRACEBACK_MARK)
+    tests = evaluate_once(
+        lines.where(is_python_related(text)).withColumn("is_start", is_start),
+        F.struct(
+            F.when(~is_start, first_match(text, PREFIXED_PATTERNS)).alias("hit"),
+            F.when(~is_start & F.rlike(text, F.lit(PREFIXED_FILE)), F.struct(F.regexp_extract(text, PREFIXED_FILE, 4).alias("filename"), F.regexp_extract(text, PREFIXED_FILE, 5).alias("line_number"))).alias("at"),
+            F.when(is_start & F.rlike(text, F.lit(PREFIXED_START)), F.struct(*(F.regexp_extract(text, PREFIXED_START, i).alias(n) for i, n in enumerate(APP_FIELDS, 1)))).alias("opens"),
+        ),
+    )
+    ends = F.col("hit").isNotNull() & F.col("at").isNull()
+    scanned = ordered_scan(
+        tests.withColumn("__chunk", number_chunk(F.col(order))), [key], "__chunk", [order],
+        last={
+            "__state": F.when(F.col("is_start"), place * 2 + 1).when(ends, place * 2),
+            "__app": F.when(F.col("opens").isNotNull(), place * 2 + 1).when(ends, place * 2),
+        },
+    )
+    half = lambda c: F.when(F.col(c) % 2 == 1, F.shiftright(c, 1))
+    begin = F.when(F.col("is_start"), place).otherwise(half("__state"))
+    in_file = begin.isNotNull() & F.col("at").isNotNull()
+    kind = F.when(F.col("is_start"), "traceback_start").when(in_file, "python_file").when(F.col("hit").isNotNull(), "python_exception")
+    placed = (
+        scanned.withColumn("type", kind).where(F.col("type").isNotNull()).withColumn("trace_start", begin)
+        .withColumn("__from", F.when(F.col("opens").isNotNull(), place).when(begin.isNotNull(), half("__app")))
+    )
+    # the app of a trace is on its traceback line, met by an equal line number
+    openers = tests.where("opens is not null").select(F.col(key).alias("__key"), place.alias("__no"), "opens")
+    joined = placed.drop("opens").join(openers, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__from") == F.col("__no")), "left")
+    thrown = F.col("type") == "python_exception"
+    return joined.select(
+        key, order, "type", *(F.when(thrown, F.col(f"hit.{f}")).alias(f) for f in ("pattern", "exception_type", "message")),
+        F.when(F.col("type") == "python_file", F.col("at.filename")).alias("filename"),
+        F.when(F.col("type") == "python_file", F.col("at.line_number").cast("long")).alias("line_number"),
+        *(F.when(F.col("trace_start").isNull(), F.col(f"hit.{f}")).otherwise(F.col(f"opens.{f}")).alias(f) for f in APP_FIELDS),
+        "trace_start", F.trim("line").alias("log_line"),
+    )
+
+
 def app_fields(line: Column) -> list[Column]:
     """App name, version and process of ``name<version>(pid)``, else ``unknown``; and the joined form."""
     get = lambda g: F.coalesce(F.nullif(F.regexp_extract(line, APP_PREFIX, g), F.lit("")), F.lit("unknown"))
@@ -290,27 +379,38 @@ def trace_lines(detected: DataFrame, key: str = "stream_id", order: str = "line_
     start = F.when(F.col("is_start"), F.col(order)).when(F.col("__before") % 2 == 1, half("__before"))
     end = F.when(F.col("is_exc"), F.col(order)).when(F.col("__after") % 2 == 0, half("__after"))
     return (
-        scanned.withColumn("__start", start)
-        .withColumn("trace_end", F.when(F.col("__start").isNotNull(), end))
-        .withColumn("trace_start", F.when(F.col("trace_end").isNotNull(), F.col("__start")))
+        # the start of the trace that a line would belong to if it closes; known without looking ahead
+        scanned.withColumn("trace_begin", start)
+        .withColumn("trace_end", F.when(F.col("trace_begin").isNotNull(), end))
+        .withColumn("trace_start", F.when(F.col("trace_end").isNotNull(), F.col("trace_begin")))
         # lines of the trace still open at the end of the stream: what a later batch must see again
-        .withColumn("trace_open", F.col("__start").isNotNull() & ~F.col("is_exc") & F.col("__after").isNull())
-        .drop("__before", "__after", "__chunk", "__start")
+        .withColumn("trace_open", F.col("trace_begin").isNotNull() & ~F.col("is_exc") & F.col("__after").isNull())
+        .drop("__before", "__after", "__chunk")
     )
 
 
 def exception_events(
-    lines: DataFrame, extra: Sequence[LinePattern] = (), key: str = "stream_id", order: str = "line_no"
+    lines: DataFrame, extra: Sequence[LinePattern] = (), key: str = "stream_id", order: str = "line_no", reach: int | None = CHUNK_ROWS
 ) -> DataFrame:
     """Exception events of all streams: traced, untraced and traceback starts.
 
-    ``lines`` needs ``stream_id``, a unique integer ``line_no``, ``ts`` and ``line``.
+    ``lines`` needs ``stream_id``, a unique integer ``line_no``, ``ts`` and ``line``. ``reach`` as in :func:`build_events`.
     """
-    return build_events(trace_lines(detect_lines(lines, extra), key, order), key, order)
+    return build_events(trace_lines(detect_lines(lines, extra), key, order), key, order, reach)
 
 
-def build_events(marked: DataFrame, key: str = "stream_id", order: str = "line_no") -> DataFrame:
-    """Events from marked lines (see :func:`trace_lines`): traces gathered by their end, lone hits as they are."""
+def trace_rows(marked: DataFrame, key: str = "stream_id", order: str = "line_no") -> DataFrame:
+    """Closed traces as rows ``(key, trace_start, trace_end, line number, text)``: any number of lines, none gathered."""
+    return marked.where(F.col("trace_start").isNotNull()).select(key, "trace_start", "trace_end", order, F.trim("line").alias("text"))
+
+
+def build_events(marked: DataFrame, key: str = "stream_id", order: str = "line_no", reach: int | None = CHUNK_ROWS) -> DataFrame:
+    """Events from marked lines (see :func:`trace_lines`), with ``trace_start`` where a trace was closed.
+
+    Without ``reach`` an event is made of its own line and the first line of its trace; the others are in
+    :func:`trace_rows`. With it, ``stacktrace`` holds the trace's lines less than ``reach`` line numbers behind its start,
+    which are ``reach`` lines at most.
+    """
     traced = F.col("trace_start").isNotNull()
     lone = F.when(F.col("is_start"), F.struct(F.lit("start").alias("kind"), F.col(order).alias("at"))).when(
         ~traced & F.col("hit").isNotNull() & is_emitted(F.col("hit.pattern")) & ~F.col("is_file")
@@ -318,6 +418,8 @@ def build_events(marked: DataFrame, key: str = "stream_id", order: str = "line_n
         F.struct(F.lit("lone").alias("kind"), F.col(order).alias("at")),
     )
     part = F.when(traced, F.struct(F.lit("trace").alias("kind"), F.col("trace_end").alias("at")))
+    if reach is None:
+        part = F.when(F.col("is_start") | F.col("is_exc"), part)
     roles = marked.withColumn("__role", F.explode(F.filter(F.array(part, lone), lambda r: r.isNotNull())))
     text = F.trim("line")
     own = F.struct(
@@ -326,12 +428,12 @@ def build_events(marked: DataFrame, key: str = "stream_id", order: str = "line_n
         text.alias("log_line"),
         F.col("total_exceptions_found"),
     )
+    near = F.when(F.col("trace_start").isNull() | (F.col(order) - F.col("trace_start") < (reach or 0)), F.struct(F.col(order).alias("no"), text.alias("text")))
     grouped = roles.groupBy(key, "__role.kind", "__role.at").agg(
         F.max_by(own, F.when(F.col(order) == F.col("__role.at"), 1)).alias("own"),
         F.max_by(F.col("hit"), F.when(F.col("is_start"), 1)).alias("opened"),
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col(order).alias("no"), text.alias("text")))), lambda p: p["text"]
-        ).alias("stacktrace"),
+        F.max("trace_start").alias("trace_start"),
+        *([] if reach is None else [F.transform(F.array_sort(F.collect_list(near)), lambda p: p["text"]).alias("stacktrace")]),
     )
     kind, hit = F.col("kind"), F.col("own.hit")
     started = kind == "start"
@@ -344,12 +446,13 @@ def build_events(marked: DataFrame, key: str = "stream_id", order: str = "line_n
         F.when(started, "PythonTraceback").otherwise(hit["exception_type"]).alias("exception_type"),
         F.when(started, "Python traceback started").otherwise(hit["message"]).alias("message"),
         F.when(kind != "lone", "ERROR")
-        .otherwise(severity(hit["pattern"], hit["exception_type"]))
+        .otherwise(F.coalesce(hit["severity"], severity(hit["pattern"], hit["exception_type"])))
         .alias("severity"),
         F.struct(app("app_name").alias("app_name"), app("version").alias("version"), app("process").alias("process")).alias(
             "app"
         ),
-        F.when(kind == "lone", F.array().cast("array<string>")).otherwise(F.col("stacktrace")).alias("stacktrace"),
+        F.when(kind == "trace", F.col("trace_start")).alias("trace_start"),
+        *([] if reach is None else [F.when(kind == "lone", F.array().cast("array<string>")).otherwise(F.col("stacktrace")).alias("stacktrace")]),
         F.col("own.log_line").alias("log_line"),
         F.col("own.total_exceptions_found").alias("total_exceptions_found"),
     )

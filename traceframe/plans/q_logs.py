@@ -86,8 +86,8 @@ def hits(spark, sf):
     return hit_columns(logs.detect_lines(lines(spark, sf)).where(F.col("hit").isNotNull()))
 
 
-def events(spark, sf):
-    return logs.exception_events(lines(spark, sf))
+def events(spark, sf, reach=None):
+    return logs.exception_events(lines(spark, sf), reach=reach)
 
 
 @query(
@@ -163,6 +163,36 @@ def f02_prefixed(spark, sf):
     return hit_columns(logs.detect_prefixed(lines(spark, sf)))
 
 
+# the prefixed detector as a state that lines set or leave: plain windows over whole streams
+_PY = " OR ".join("contains(line, '%s')" % text for text in logs.PYTHON_INDICATORS)
+_CASES = " ".join(f"WHEN regexp_matches(line, '{_APP}({types}):', 'i') THEN '{name}'" for name, types in logs.PREFIXED_TYPES)
+
+
+@query(
+    "f02_trace_aware",
+    rf"""WITH p AS (SELECT *, contains(line, '{logs.TRACEBACK_MARK}') AS tb FROM v_lines WHERE {_PY}),
+    h AS (SELECT *, CASE WHEN NOT tb THEN CASE {_CASES} END END AS pat, NOT tb AND regexp_matches(line, '{_APP}{_FILE}', 'i') AS fl,
+      tb AND regexp_matches(line, '{_APP}Traceback\s*\(most recent call last\):', 'i') AS opens FROM p),
+    m AS (SELECT *, pat IS NOT NULL AND NOT fl AS ends FROM h),
+    s AS (SELECT *, last_value(CASE WHEN tb THEN line_no WHEN ends THEN -1 END IGNORE NULLS) OVER w AS state,
+      last_value(CASE WHEN opens THEN line_no WHEN ends THEN -1 END IGNORE NULLS) OVER w AS app
+      FROM m WINDOW w AS (PARTITION BY stream_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    t AS (SELECT *, CASE WHEN tb THEN line_no WHEN state >= 0 THEN state END AS trace_start FROM s),
+    e AS (SELECT *, CASE WHEN tb THEN 'traceback_start' WHEN trace_start IS NOT NULL AND fl THEN 'python_file' WHEN pat IS NOT NULL THEN 'python_exception' END AS type,
+      CASE WHEN opens THEN line_no WHEN trace_start IS NOT NULL AND app >= 0 THEN app END AS src FROM t)
+    SELECT e.stream_id, e.line_no, e.type, CASE WHEN e.type = 'python_exception' THEN pat END AS pattern,
+      CASE WHEN e.type = 'python_exception' THEN regexp_extract(e.line, '{_APP}(\w+):\s*([^\n]*)', 4, 'i') END AS exception_type,
+      CASE WHEN e.type = 'python_file' THEN regexp_extract(e.line, '{_FILE}', 1, 'i') END AS filename,
+      CASE WHEN e.type = 'python_file' THEN CAST(regexp_extract(e.line, '{_FILE}', 2, 'i') AS BIGINT) END AS line_number,
+      CASE WHEN trace_start IS NULL THEN regexp_extract(e.line, '{_APP}', 1) WHEN src IS NOT NULL THEN regexp_extract(o.line, '{_APP}', 1) END AS app_name,
+      trace_start FROM e LEFT JOIN v_lines o ON o.stream_id = e.stream_id AND o.line_no = e.src WHERE e.type IS NOT NULL""",
+    ["v_lines"],
+)
+def f02_trace_aware(spark, sf):
+    found = logs.prefixed_events(lines(spark, sf))
+    return found.select("stream_id", "line_no", "type", "pattern", "exception_type", "filename", "line_number", "app_name", F.col("trace_start").cast("long").alias("trace_start"))
+
+
 @query(
     "f03_user_pattern",
     r"""SELECT stream_id, line_no, 'python_signup' AS pattern, 'signup' AS exception_type,
@@ -284,7 +314,7 @@ def f11(spark, sf):
     ["v_lines"],
 )
 def w07(spark, sf):
-    found = events(spark, sf)
+    found = events(spark, sf, reach=1000)
     return found.select(
         "stream_id",
         "line_no",
@@ -299,6 +329,17 @@ def w07(spark, sf):
     )
 
 
+@query(
+    "w07_trace_rows",
+    f"""WITH {TRACES}, begun AS (SELECT *, min(line_no) OVER (PARTITION BY stream_id, trace_id) AS trace_start FROM marked WHERE traced = 1)
+    SELECT stream_id, trace_start, end_no AS trace_end, line_no, trim(line) AS text FROM begun""",
+    ["v_lines"],
+)
+def w07_rows(spark, sf):
+    marked = logs.trace_lines(logs.detect_lines(lines(spark, sf)))
+    return logs.trace_rows(marked).select("stream_id", F.col("trace_start").cast("long").alias("trace_start"), F.col("trace_end").cast("long").alias("trace_end"), "line_no", "text")
+
+
 @query(
     "w01_context_ring",
     """WITH n AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY line_no) AS line_no, ts, line FROM v_lines),

@@ -15,7 +15,7 @@ from traceframe.plans.registry import query
 from traceframe.plans.views import table
 from traceframe.session import scratch_folder as scratch
 from traceframe.sinks import streaming as sinks
-from traceframe.sources import records
+from traceframe.sources import records, text_lines
 from traceframe.streaming import live
 from traceframe.streaming.carry import Carry
 
@@ -86,6 +86,40 @@ def r01(spark, sf):
     )
 
 
+@query(
+    "r01_live_files",
+    f"""WITH {TRACES}, n AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY line_no) AS no FROM v_lines)
+    SELECT CAST(e.stream_id AS VARCHAR) AS stream_id, n.no AS line_no, e.ts, e.pattern, e.exception_type, e.message, e.severity, e.app_name,
+      CASE WHEN e.severity = 'ERROR' THEN e.stack_lines ELSE 0 END AS stack_lines
+    FROM events e JOIN n ON e.stream_id = n.stream_id AND e.line_no = n.line_no WHERE e.pattern <> 'python_traceback_start'""",
+    ["v_lines"],
+)
+def r01_files(spark, sf):
+    """Log files arrive folder by folder: numbered, dated and detected as they come; trace lines are written beside the events."""
+    lines, root = as_lines(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))), scratch(spark)
+    low, high = lines.agg(F.min("line_no"), F.max("line_no")).first()
+    text = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "line")
+    logged = text_lines.stream_lines(spark, f"{root}/in/*/*")
+    events, traces = sinks.folder(f"{root}/out"), sinks.folder(f"{root}/traces")
+    detect = live.live_exceptions(events, Carry(f"{root}/carry"), context=1, trace_sink=traces, restarts=True)
+    for at in range(3):
+        a, b = (low or 0) + at * (((high or 0) - (low or 0)) // 3 + 1), (low or 0) + (at + 1) * (((high or 0) - (low or 0)) // 3 + 1)
+        # ranges of a stream become files whose names sort as their lines do
+        part = lines.where((F.col("line_no") >= a) & (F.col("line_no") < b)).repartitionByRange(4, "stream_id", "line_no").sortWithinPartitions("stream_id", "line_no")
+        part.select(F.lit(at).alias("slice"), "stream_id", text.alias("value")).write.mode("append").partitionBy("slice", "stream_id").text(f"{root}/in")
+        live.run_bounded(live.start(logged, lambda batch, i: detect(text_lines.place_lines(batch), i), f"{root}/checkpoint", available_now=True))
+    found = spark.read.parquet(f"{root}/out").where("pattern <> 'python_traceback_start'")
+    kept = spark.read.parquet(f"{root}/traces").select(F.col("stream_id").alias("s"), F.col("trace_start").alias("t"), F.col("line_no").alias("n"))
+    ends = found.where("trace_start is not null").select("stream_id", "line_no", "trace_start")
+    met = kept.join(ends, (F.col("s") == F.col("stream_id")) & (F.col("t") == F.col("trace_start"))).where("n <= line_no")
+    sizes = met.groupBy("stream_id", "line_no").agg(F.count(F.lit(1)).alias("stack_lines"))
+    out = found.join(sizes, ["stream_id", "line_no"], "left")
+    return out.select(
+        "stream_id", "line_no", F.col("ts").cast("timestamp_ntz").alias("ts"), "pattern", "exception_type", "message", "severity", F.col("app.app_name").alias("app_name"),
+        F.coalesce("stack_lines", F.lit(0)).cast("long").alias("stack_lines"),
+    )
+
+
 @query(
     "r02_live_trailing_alert",
     """SELECT user_id, event_id, n_recent FROM (SELECT *, COUNT(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts)

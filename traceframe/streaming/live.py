@@ -26,13 +26,22 @@ def live_exceptions(
     extra: Sequence[logs.LinePattern] = (),
     key: str = "stream_id",
     order: str = "line_no",
+    reach: int = 1000,
+    trace_sink: Sink | None = None,
+    restarts: bool = False,
 ):
     """``foreachBatch`` function: exception events with context for lines ``(stream_id, line_no, ts, line)``.
 
-    Carried per stream: the lines of the traceback still open, the last ``context - 1`` lines, and the
-    counts so far. Lines of a stream must arrive in order from batch to batch; within a batch any
-    order will do.
+    Carried per stream: of a traceback still open its first line and others less than ``reach`` line numbers behind it (the
+    ``stacktrace`` of its event holds these and the lines of the last batch), the last ``context - 1`` lines, and the counts so
+    far. So what is carried is bounded, however long a trace stays open. With ``trace_sink`` every line of a trace goes there
+    as it arrives, as ``(key, trace_start, line number, text)``, only the first line of an open trace is carried, and events
+    have no ``stacktrace`` but the ``trace_start`` to join by: a trace's lines are those up to the event's line, and those
+    of a trace that never closes meet no event. Lines of a stream must arrive in order from batch to batch; within a batch
+    any order will do. ``restarts``: line numbers begin anew in each batch (as :func:`text_lines.place_lines` gives them) and
+    are replaced by the number of the line in the stream.
     """
+    held = 1 if trace_sink else reach
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -48,6 +57,9 @@ def live_exceptions(
             placed = placed.withColumn("__found", F.coalesce("__found", F.lit(0).cast("long"))).drop("__base")
             again = old.select(*[c for c in placed.columns], F.lit(False).alias("__new"))
             numbered = placed.withColumn("__new", F.lit(True)).unionByName(again)
+        if restarts:
+            # carried lines have theirs already, and it is the same
+            numbered = numbered.withColumn(order, F.col("__no"))
         numbered = numbered.persist()
         try:
             detected = logs.detect_lines(numbered, extra)
@@ -57,7 +69,9 @@ def live_exceptions(
             counted = F.when(F.col("__new") & F.col("hit").isNotNull() & ~F.col("is_file"), 1).otherwise(0)
             old_hits = F.when(~F.col("__new") & F.col("hit").isNotNull() & ~F.col("is_file"), 1).otherwise(0)
             repeats = marked.groupBy(key).agg(F.sum(old_hits).alias("__repeat"), F.max("__found").alias("__before"))
-            events = logs.build_events(marked, key, order)
+            events = logs.build_events(marked, key, order, None if trace_sink else reach)
+            if trace_sink:
+                trace_sink(marked.where(F.col("__new") & F.col("trace_begin").isNotNull()).select(key, F.col("trace_begin").alias("trace_start"), order, F.trim("line").alias("text")), batch_id)
             news = numbered.where("__new").select(key, order, F.col("__no").alias("__line"))
             placed_events = join_one_per_key(events.join(news, [key, order]), repeats, [key], order).withColumn(
                 "total_exceptions_found", F.col("total_exceptions_found") - F.col("__repeat") + F.col("__before")
@@ -69,7 +83,7 @@ def live_exceptions(
             sink(out.withColumnRenamed("__line", "line_number"), batch_id)
 
             ends = marked.groupBy(key).agg(F.max("__no").alias("__last"), (F.max("__found") + F.sum(counted)).alias("__total"))
-            kept = join_one_per_key(marked, ends, [key], order).where(F.col("trace_open") | (F.col("__no") > F.col("__last") - F.greatest(F.lit(context - 1), F.lit(1))))
+            kept = join_one_per_key(marked, ends, [key], order).where((F.col("trace_open") & (F.col(order) - F.col("trace_begin") < held)) | (F.col("__no") > F.col("__last") - F.greatest(F.lit(context - 1), F.lit(1))))
             remembered = kept.select(key, order, "ts", "line", "__no", F.col("__total").alias("__found"))
             if old is not None:
                 # streams silent in this batch are part of ``marked`` through their carried lines
