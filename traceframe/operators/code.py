@@ -22,7 +22,7 @@ from traceframe.operators.search import file_metrics
 _PARAM = "struct<name:string,type:string,default:string,is_vararg:boolean,is_kwarg:boolean>"
 FACTS = (
     "path string, kind string, scope string, class_name string, name string, line int, end_line int, col int, "
-    f"detail string, items array<string>, params array<{_PARAM}>, doc string, is_async boolean, weight int"
+    f"detail string, items array<string>, params array<{_PARAM}>, doc string, is_async boolean, weight int, owner_line int"
 )
 _ARROW = pa.schema(
     [
@@ -31,10 +31,12 @@ _ARROW = pa.schema(
         ("detail", pa.string()), ("items", pa.list_(pa.string())),
         ("params", pa.list_(pa.struct([("name", pa.string()), ("type", pa.string()), ("default", pa.string()),
                                        ("is_vararg", pa.bool_()), ("is_kwarg", pa.bool_())]))),
-        ("doc", pa.string()), ("is_async", pa.bool_()), ("weight", pa.int32()),
+        ("doc", pa.string()), ("is_async", pa.bool_()), ("weight", pa.int32()), ("owner_line", pa.int32()),
     ]
 )
 BATCH_FACTS = 20_000
+# flags of functions, and the last part of the decorators that set them (fixed values)
+DECORATED = (("is_property", ("property", "setter", "getter", "deleter", "cached_property")), ("is_classmethod", ("classmethod",)), ("is_staticmethod", ("staticmethod",)))
 _DECISIONS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.TryStar, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.Match, ast.match_case)
 
 
@@ -64,13 +66,18 @@ def _params(args: ast.arguments) -> list[dict]:
 
 
 class _Facts(ast.NodeVisitor):
-    """Emit facts of one file; ``scope`` is the innermost function, ``owner`` the innermost class."""
+    """Emit facts of one file; ``scope`` is the innermost function, ``owner`` the innermost class.
+
+    A class in a class is named ``Outer.Inner``. ``owner_line`` is the line of the class statement that a function or class
+    stands in directly, so classes of one name keep their own members.
+    """
 
     def __init__(self, path: str, text: str):
         self.path, self.lines, self.rows = path, text.split("\n"), []
         self.scope: list[str] = []
         self.scope_lines: list[int] = []
         self.owner: list[str] = []
+        self.around: list[int | None] = []  # line of each class around, None for a function
 
     def emit(self, kind: str, node: ast.AST, **more) -> None:
         self.rows.append(
@@ -111,14 +118,17 @@ class _Facts(ast.NodeVisitor):
             params=_params(node.args),
             doc=ast.get_docstring(node),
             is_async=is_async,
+            owner_line=self.around[-1] if self.around else None,
         )
         for part in [*node.decorator_list, node.args, node.returns]:
             if part is not None:
                 self.visit(part)
         self.scope.append(name)
         self.scope_lines.append(node.lineno)
+        self.around.append(None)
         for child in node.body:
             self.visit(child)
+        self.around.pop()
         self.scope.pop()
         self.scope_lines.pop()
 
@@ -130,9 +140,13 @@ class _Facts(ast.NodeVisitor):
 
     def visit_ClassDef(self, node):
         decorators = [_source(d) for d in node.decorator_list]
-        self.emit("class", node, name=node.name, items=[_source(b) for b in node.bases], doc=ast.get_docstring(node), detail=",".join(decorators))
-        self.owner.append(node.name)
+        inside = self.around[-1] if self.around else None
+        name = f"{self.owner[-1]}.{node.name}" if inside else node.name
+        self.emit("class", node, name=name, items=[_source(b) for b in node.bases], doc=ast.get_docstring(node), detail=",".join(decorators), owner_line=inside)
+        self.owner.append(name)
+        self.around.append(node.lineno)
         self.generic_visit(node)
+        self.around.pop()
         self.owner.pop()
 
     def visit_Call(self, node):
@@ -241,6 +255,7 @@ def functions(facts: DataFrame) -> DataFrame:
         F.col("d.items").alias("decorators"),
         F.col("d.is_async").alias("is_async"),
         F.col("d.class_name").isNotNull().alias("is_method"),
+        *(F.coalesce(F.exists("d.items", lambda x: F.element_at(F.split(x, r"\."), -1).isin(*names)), F.lit(False)).alias(flag) for flag, names in DECORATED),
         visibility(short).alias("visibility"),
         (F.lit(1) + F.col("branches")).cast("long").alias("complexity"),
         F.regexp_replace("d.signature", r"\|[^|]*$", "").alias("signature"),
@@ -248,20 +263,24 @@ def functions(facts: DataFrame) -> DataFrame:
 
 
 def classes(facts: DataFrame) -> DataFrame:
-    """Classes with bases, methods in source order, and dataclass / abstract flags."""
+    """Classes with bases, methods in source order, and dataclass / abstract flags.
+
+    A class is its statement, known by file and line: classes of one name (alternatives under ``if`` or ``try``, classes in
+    functions or in other classes) are rows of their own with their own methods. A class in a class is ``Outer.Inner``.
+    """
     is_class = F.col("kind") == "class"
-    method = (F.col("kind") == "function") & F.col("scope").isNull() & F.col("class_name").isNotNull()
+    method = (F.col("kind") == "function") & F.col("owner_line").isNotNull()
     grouped = (
         facts.where(is_class | method)
-        .groupBy("path", F.when(is_class, F.col("name")).otherwise(F.col("class_name")).alias("class"))
+        .groupBy("path", F.when(is_class, F.col("line")).otherwise(F.col("owner_line")).alias("class_line"))
         .agg(
-            F.max_by(F.struct("line", "end_line", "items", "doc", "detail"), F.when(is_class, F.col("line"))).alias("c"),
+            F.max_by(F.struct("name", "line", "end_line", "items", "doc", "detail"), F.when(is_class, F.col("line"))).alias("c"),
             F.array_sort(F.collect_list(F.when(method, F.struct("line", "name")))).alias("m"),
         )
     )
     return grouped.where(F.col("c").isNotNull()).select(
         F.col("path").alias("file"),
-        F.col("class").alias("name"),
+        F.col("c.name").alias("name"),
         F.col("c.line").cast("long").alias("line_start"),
         F.col("c.end_line").cast("long").alias("line_end"),
         F.col("c.items").alias("bases"),

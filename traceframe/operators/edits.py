@@ -110,13 +110,16 @@ def replace_all(files: DataFrame, edits: DataFrame, file: str = "file", text: st
 
 def replace_first(files: DataFrame, edits: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
     """Search/replace of the first occurrence; a warning when there are more, and the line of the hit. Several edits of a
-    file are applied in the order of ``seq``; an edit of an unknown file says ``no_file``."""
+    file are applied in the order of ``seq``; an edit of an unknown file says ``no_file``, one that searches for nothing
+    leaves the text and says ``empty``."""
 
     def step(body: Column, edit: Column) -> tuple[Column, ...]:
         n = occurrences(body, edit["search"])
         ahead = F.substring(body, F.lit(1), F.instr(body, edit["search"]) - 1)
         line = F.when(n > 0, 1 + F.length(ahead) - F.length(F.replace(ahead, F.lit("\n"), F.lit(""))))
-        return _replace_first(body, edit["search"], edit["replacement"]), F.when(n > 1, "multiple").when(n == 1, "replaced").otherwise("not_found"), n, line
+        some = edit["search"] != ""
+        after = F.when(some, _replace_first(body, edit["search"], edit["replacement"])).otherwise(body)
+        return after, F.when(~some, "empty").when(n > 1, "multiple").when(n == 1, "replaced").otherwise("not_found"), n, line
 
     rows = _in_order(files, edits, file, text, step)
     return rows.select(*[c for c in rows.columns if c != "__e"], F.col("__e.status").alias("status"), F.col("__e.line").alias("line"))
@@ -127,14 +130,14 @@ def _squeeze(text: Column) -> Column:
 
 
 def _flexible(search: Column) -> Column:
-    """Regex of a literal in which every run of blanks fits any whitespace."""
-    escaped = F.regexp_replace(search, r"([\\.\[\]{}()*+?^$|#&~-])", r"\\$1")
+    """Regex of a literal in which every run of whitespace fits any other; none at its ends."""
+    escaped = F.regexp_replace(_squeeze(search), r"([\\.\[\]{}()*+?^$|#&~-])", r"\\$1")
     return F.regexp_replace(escaped, " ", r"\\s+")
 
 
 def replace_in_range(files: DataFrame, edits: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
     """First occurrence within ``start_line``–``end_line`` (either may be null); whitespace may differ. A text without it
-    stays as it is. Several edits of a file are applied in the order of ``seq``, each by the lines that the ones before left."""
+    stays as it is, and so does one whose edit searches for nothing but whitespace (``empty``). Several edits of a file are applied in the order of ``seq``, each by the lines that the ones before left."""
 
     def step(whole: Column, edit: Column) -> tuple[Column, ...]:
         lines = F.split(whole, "\n", -1)
@@ -145,11 +148,13 @@ def replace_in_range(files: DataFrame, edits: DataFrame, file: str = "file", tex
         body = F.array_join(F.slice(lines, first, size(last - first + 1)), "\n")
         rest = F.slice(lines, last + 1, size(F.size(lines) - last))
         search = edit["search"]
-        found = _squeeze(body).contains(_squeeze(search))
-        literal = F.when(body.contains(search), search).otherwise(F.regexp_substr(body, _flexible(search)))
+        some = _squeeze(search) != ""
+        # what is replaced decides what is said
+        literal = F.when(some, F.when(body.contains(search), search).otherwise(F.regexp_substr(body, _flexible(search))))
+        found = literal.isNotNull()
         new = _replace_first(body, literal, edit["replacement"])
         after = F.array_join(F.concat(head, F.split(new, "\n", -1), rest), "\n")
-        return F.when(found & literal.isNotNull(), after).otherwise(whole), F.when(found, "replaced").otherwise("not_found"), F.lit(None), F.lit(None)
+        return F.when(found, after).otherwise(whole), F.when(found, "replaced").when(some, "not_found").otherwise("empty"), F.lit(None), F.lit(None)
 
     rows = _in_order(files, edits, file, text, step, ("start_line", "end_line"))
     return rows.select(*[c for c in rows.columns if c != "__e"], F.col("__e.status").alias("status"))

@@ -182,33 +182,45 @@ def function_ends(files: DataFrame, path: str = "path", text: str = "text") -> D
     The body's indent is that of the first non-blank line after the ``def`` that does not end with a
     colon. The function ends before the first later line (at least two below the ``def``) that is
     indented no deeper and is neither comment nor decorator; otherwise at the end of the file.
-    Every file is one row of arrays, so nothing is shuffled.
+
+    One pass over the lines of a file: functions wait for their first line, then stand on a stack of open ones until
+    a line is indented no deeper. What is open has ever deeper bodies, so the stack is as high as the file is nested, and
+    the work grows with the lines, not with functions times lines. Every file is one row of arrays; nothing is shuffled.
     """
     lines = F.split(F.regexp_replace(text, "\n$", ""), "\n", -1)
-    defs = files.select(path, lines.alias("__lines")).select(path, "__lines", F.posexplode("__lines").alias("__pos", "__line"))
-    starts = defs.where(F.rlike("__line", F.lit(r"^\s*(async\s+)?def\s+\w+")))
-    at = F.transform(
-        F.slice("__lines", F.col("__pos") + 2, F.greatest(F.size("__lines") - F.col("__pos") - 1, F.lit(0))),
-        lambda x, i: F.struct((i + F.col("__pos") + 1).alias("i"), F.rtrim(x, F.lit(" \t\r\n\u000b\u000c")).alias("t")),
-    )
-    body = F.filter(at, lambda e: e["t"] != "")
-    first = F.get(F.filter(body, lambda e: ~e["t"].endswith(":")), F.lit(0))
-    deep = indent(first["t"])
-    stop = F.get(
-        F.filter(
-            body,
-            lambda e: (e["i"] >= first["i"])
-            & (indent(e["t"]) <= deep)
-            & ~F.rlike(strip(e["t"]), F.lit("^[#@]"))
-            & (e["i"] > F.col("__pos") + 2),
+    seen = F.transform(
+        lines,
+        lambda x, i: F.struct(
+            i.alias("i"), indent(x).alias("deep"), F.rtrim(x, F.lit(" \t\r\n\u000b\u000c")).alias("t"),
+            (~F.rlike(strip(x), F.lit("^[#@]"))).alias("ends"), F.rlike(x, F.lit(r"^\s*(async\s+)?def\s+\w+")).alias("opens"),
         ),
-        F.lit(0),
-    )
-    return starts.select(
+    )
+    start = F.expr("named_struct('waiting', cast(array() as array<int>), 'open', cast(array() as array<struct<p:int,s:int,d:int>>), 'done', cast(array() as array<struct<p:int,stop:int>>))")
+
+    def step(state: Column, line: Column) -> Column:
+        first = ~line["t"].endswith(":")
+        begun = F.transform(state["waiting"], lambda p: F.struct(p.alias("p"), F.greatest(line["i"], p + 3).alias("s"), line["deep"].cast("int").alias("d")))
+        standing = F.when(first & (F.size(state["waiting"]) > 0), F.concat(state["open"], begun)).otherwise(state["open"])
+        over = lambda q: line["ends"] & (line["i"] >= q["s"]) & (line["deep"] <= q["d"])
+        some = F.exists(standing, over)
+        waiting = F.when(first, F.slice(state["waiting"], F.lit(1), F.lit(0))).otherwise(state["waiting"])
+        after = F.struct(
+            F.when(line["opens"], F.concat(waiting, F.array(line["i"]))).otherwise(waiting).alias("waiting"),
+            F.when(some, F.filter(standing, lambda q: ~over(q))).otherwise(standing).alias("open"),
+            F.when(some, F.concat(state["done"], F.transform(F.filter(standing, over), lambda q: F.struct(q["p"].alias("p"), line["i"].alias("stop"))))).otherwise(state["done"]).alias("done"),
+        )
+        idle = (F.size(state["waiting"]) == 0) & (F.size(state["open"]) == 0) & ~line["opens"]
+        return F.when((line["t"] == "") | idle, state).otherwise(after)
+
+    folded = files.select(path, lines.alias("__lines"), F.aggregate(seen, start, step).alias("__r"))
+    never = lambda p: F.struct(p.alias("p"), F.size("__lines").alias("stop"))
+    ends = F.concat("__r.done", F.transform("__r.open", lambda q: never(q["p"])), F.transform("__r.waiting", never))
+    rows = folded.select(path, "__lines", F.explode(ends).alias("__e"))
+    return rows.select(
         path,
-        F.regexp_extract("__line", r"def\s+(\w+)", 1).alias("name"),
-        (F.col("__pos") + 1).cast("long").alias("line_start"),
-        F.coalesce(stop["i"], F.size("__lines")).cast("long").alias("line_end"),
+        F.regexp_extract(F.get("__lines", F.col("__e.p")), r"def\s+(\w+)", 1).alias("name"),
+        (F.col("__e.p") + 1).cast("long").alias("line_start"),
+        F.col("__e.stop").cast("long").alias("line_end"),
     )
 
 
