@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 # The status floor each severity name stands for; any other name means the first.
@@ -53,6 +53,17 @@ def filter_all(events: DataFrame, predicates: Sequence[Column]) -> DataFrame:
     return events.where(reduce(lambda a, b: a & b, predicates, F.lit(True)))
 
 
+def filter_counted(events: DataFrame, predicates: Sequence[Column]) -> tuple[DataFrame, Observation]:
+    """:func:`filter_all`, with the numbers of events before and after it counted beside the flow.
+
+    The observation has ``total`` and ``kept`` once an action has read the frame; it costs no pass of its own. A task that
+    runs again is counted once.
+    """
+    seen = Observation()
+    accepted = F.coalesce(reduce(lambda a, b: a & b, predicates, F.lit(True)), F.lit(False))
+    return filter_all(events.observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(accepted).alias("kept")), predicates), seen
+
+
 def collapse_retries(attempts: DataFrame, keys: Sequence[str] = ("check_id",)) -> DataFrame:
     """One row per check: last attempt's outcome, attempts used, total back-off seconds, failure flag.
 

@@ -99,7 +99,35 @@ def unique_paths(files: DataFrame, requests: Sequence[str], path: str = "path",
     a per-request count that combines before the shuffle.
     """
     asked = F.filter(F.array(*[F.lit(r) for r in requests]), lambda r: F.contains(F.col(path), r))
-    hits = files.select(F.explode(asked).alias("request"), F.col(path).alias("file"))
+    return _one_file(files.select(F.explode(asked).alias("request"), F.col(path).alias("file")), exact_first)
+
+
+def partial_paths(files: DataFrame, requests: DataFrame, path: str = "path", request: str = "request", exact_first: bool = True) -> DataFrame:
+    """:func:`unique_paths` for any number of requests, which are a DataFrame: ``(request, file)`` of those that name one file.
+
+    An index of n-grams: a path that contains a request holds all its trigrams, so each request meets only the paths that
+    hold its rarest one, and is then searched for in them. Requests of one or two characters are grams themselves. Repeated
+    requests count once; null and empty ones name nothing. Paths that repeat count each, so they are not unique.
+    """
+    asked = requests.select(F.col(request).cast("string").alias("request")).where("request <> ''").distinct()
+    named = files.select(F.col(path).alias("file"))
+
+    def grams(text: Column, n: Column) -> Column:
+        places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, n)))
+
+    wanted = asked.select("request", F.explode(grams(F.col("request"), F.least(F.length("request"), F.lit(3)))).alias("gram"))
+    sizes = [r["n"] for r in wanted.select(F.length("gram").alias("n")).distinct().collect()]
+    held = named.select("file", F.explode(F.concat(*(grams(F.col("file"), F.lit(n)) for n in sizes or [3]))).alias("gram"))
+    held = held.join(wanted.select("gram").distinct(), "gram", "left_semi")
+    often = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # a gram that no path holds is the rarest of all
+    rarest = wanted.join(often, "gram", "left").groupBy("request").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    hits = rarest.join(held, "gram").where(F.contains(F.col("file"), F.col("request")))
+    return _one_file(hits, exact_first)
+
+
+def _one_file(hits: DataFrame, exact_first: bool) -> DataFrame:
     counted = hits.groupBy("request").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("file").alias("file"),

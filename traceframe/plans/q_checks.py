@@ -8,6 +8,7 @@ from traceframe.operators import alerts, checks, logs
 from traceframe.operators.ordered import number_rows, time_chunks
 from traceframe.plans.registry import query
 from traceframe.plans.views import table, view
+from traceframe.session import cut_lineage, scratch_folder
 from traceframe.sinks import files
 
 
@@ -68,6 +69,20 @@ def f13(spark, sf):
     return checks.filter_all(failures(spark, sf), [serious, F.col("url").contains("feed=b1")]).select("event_id", "url")
 
 
+@query(
+    "f13_counted_chain",
+    """SELECT COUNT(*) AS total, count_if((response_status IS NULL OR response_status >= 500 OR lower(exception) LIKE '%timeout%') AND url LIKE '%feed=b1%') AS kept,
+    count_if((response_status IS NULL OR response_status >= 500 OR lower(exception) LIKE '%timeout%') AND url LIKE '%feed=b1%') AS written FROM v_failures""",
+    ["v_failures"],
+)
+def f13_counted(spark, sf):
+    serious = F.col("response_status").isNull() | (F.col("response_status") >= 500) | F.lower("exception").contains("timeout")
+    kept, seen = checks.filter_counted(failures(spark, sf), [serious, F.col("url").contains("feed=b1")])
+    written = cut_lineage(kept.select("event_id", "url"))
+    counts = seen.get
+    return written.agg(F.count(F.lit(1)).alias("written")).select(F.lit(counts["total"]).cast("long").alias("total"), F.lit(counts["kept"]).cast("long").alias("kept"), "written")
+
+
 @query(
     "f14_failure_status",
     """SELECT event_id, 'HTTP ' || status || ': ' || coalesce(error, '') AS failure FROM v_checks WHERE status >= 400""",
@@ -218,6 +233,18 @@ def w06(spark, sf):
     return found.select("url", "event_id", "n_so_far", "status_so_far")
 
 
+@query(
+    "k01_array_file",
+    "SELECT event_id, url, exception, exception_type, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts FROM v_failures",
+    ["v_failures"],
+)
+def k01_array(spark, sf):
+    """All failures as one JSON array in parallel parts, read back."""
+    folder = scratch_folder(spark)
+    files.write_json_array(failures(spark, sf), folder, ["ts", "event_id"])
+    return files.read_json_array(spark, folder, "event_id long, url string, exception string, exception_type string, ts string")
+
+
 @query(
     "k02_json_lines",
     """SELECT event_id, CAST(to_json({url: url, ts: strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), exception: exception, exception_type: exception_type,
@@ -250,6 +277,32 @@ def k04(spark, sf):
     return files.with_day(failures(spark, sf)).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "k04_by_day_files",
+    "SELECT strftime(ts, '%Y%m%d') AS day, url, COUNT(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM v_failures GROUP BY ALL",
+    ["v_failures"],
+)
+def k04_files(spark, sf):
+    """Day folders, written and read back."""
+    folder = scratch_folder(spark)
+    files.write_by_day(failures(spark, sf), folder)
+    back = spark.read.schema("event_id long, url string, day string").json(folder)
+    return back.groupBy("day", "url").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query(
+    "k05_per_url_files",
+    "SELECT url, COUNT(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM v_failures GROUP BY 1",
+    ["v_failures"],
+)
+def k05_files(spark, sf):
+    """URL folders, written in files of a thousand rows and read back."""
+    folder = scratch_folder(spark)
+    files.write_per_url(failures(spark, sf), folder, rows_per_file=1000)
+    back = spark.read.schema("event_id long, url string").json(folder)
+    return back.groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query(
     "k05_per_url_totals",
     "SELECT url, COUNT(*) AS n FROM v_failures GROUP BY ROLLUP (url)",

@@ -221,6 +221,23 @@ def k01(spark, sf):
     return exported.select("stream_id", "line_no", F.array_join("context_lines", "\n").alias("context"))
 
 
+def _refuse_timeouts(event: dict) -> None:
+    if event["exception_type"] == "ConnectTimeout":
+        raise ValueError(event["url"])
+
+
+@query(
+    "k08_callback",
+    "SELECT count_if(exception_type <> 'ConnectTimeout') AS done, count_if(exception_type = 'ConnectTimeout') AS failed FROM v_failures",
+    ["v_failures"],
+)
+def k08(spark, sf):
+    """A user function is called for every failure on the executors; its calls are counted, its errors end nothing."""
+    tally = sinks.Tally(spark)
+    sinks.counted_callback(_refuse_timeouts, tally)(failures(spark, sf), 0)
+    return spark.range(1).select(F.lit(tally.done).cast("long").alias("done"), F.lit(tally.failed).cast("long").alias("failed"))
+
+
 @query(
     "k06_console_lines",
     """SELECT 'url: ' || url || chr(10) || 'exception_type: ' || exception_type || chr(10) || '  ' || body AS value FROM v_failures""",

@@ -212,6 +212,20 @@ def j04(spark, sf):
     return search.unique_paths(files(spark, sf), ["doc_17", "test_doc_994.md", "tests", "doc_998.md", "nowhere", "src1/en"])
 
 
+@query(
+    "j04_partial_paths",
+    """WITH q AS (SELECT DISTINCT r FROM (SELECT right(path, 9) AS r FROM v_files UNION ALL SELECT 'doc_' || doc_id FROM v_files UNION ALL
+      SELECT path FROM v_files WHERE doc_id % 5 = 0 UNION ALL SELECT substr(path, 2, 2) FROM v_files UNION ALL SELECT 'no/' || doc_id FROM v_files))
+    SELECT r AS request, coalesce(max(CASE WHEN path = r THEN path END), CASE WHEN COUNT(*) = 1 THEN max(path) END) AS file
+    FROM q JOIN v_files ON contains(path, r) GROUP BY r HAVING max(CASE WHEN path = r THEN path END) IS NOT NULL OR COUNT(*) = 1""",
+    ["v_files"],
+)
+def j04_partial(spark, sf):
+    known = files(spark, sf)
+    parts = [F.expr("right(path, 9)"), F.expr("'doc_' || doc_id"), F.expr("case when doc_id % 5 = 0 then path end"), F.expr("substr(path, 2, 2)"), F.expr("'no/' || doc_id")]
+    return search.partial_paths(known, known.select(F.explode(F.array(*parts)).alias("request")))
+
+
 @query(
     "w13_function_end",
     f"""WITH src AS (SELECT path, regexp_replace(text, '\\n$', '') AS text FROM v_source), {LINES.format(src='src')},

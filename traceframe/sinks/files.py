@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARRAY_LIMIT = 100_000
+from traceframe.operators.ordered import join_one_per_key
+from traceframe.session import cut_lineage, discard
 
 
 def tail(array: Column, n: int) -> Column:
@@ -33,29 +34,37 @@ def write_json_lines(events: DataFrame, path: str, mode: str = "append", keep: i
     export_ready(events, keep=keep).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def write_json_array(events: DataFrame, path: str, order: list[str], limit: int = ARRAY_LIMIT) -> int:
-    """A single JSON array file, for exports proven small.
+def write_json_array(events: DataFrame, path: str, order: list[str], limit: int | None = None, keep: int | None = 15) -> int:
+    """A JSON array of all events in ``order``, written by all tasks; returns the number of events.
 
-    One file means one writer. The size is counted first; above ``limit`` the call refuses and
-    nothing is cut. Use :func:`write_json_lines` there. Returns the number of events.
+    The part files, one after the other in the order of their names, are one array, an event a line; few events are one file.
+    The events are written once with their place, so the place decides which line opens and which closes the array, whatever
+    the parts. ``keep`` is the number of context lines (None: all); with ``limit`` more events than that are refused, never cut.
     """
-    total = events.count()
-    if total > limit:
-        raise ValueError(f"{total} events exceed the limit of {limit} for one array file; write JSON lines")
-    ready = export_ready(events, keep=15)
-    body = (
-        ready.orderBy(*order)
-        .coalesce(1)
-        .select(F.to_json(F.struct(*ready.columns)).alias("value"), F.monotonically_increasing_id().alias("at"))
-    )
-    first, last = F.when(F.col("at") == 0, "[").otherwise(""), F.when(F.col("at") == total - 1, "]").otherwise(",")
-    lines = body.select(F.concat(first, "value", last).alias("value"))
-    if total == 0:
-        lines = events.sparkSession.createDataFrame([("[]",)], "value string")
+    ready = export_ready(events, keep=keep)
+    text = F.to_json(F.struct(*ready.columns))
+    placed = cut_lineage(ready.orderBy(*order).select(text.alias("value"), F.monotonically_increasing_id().alias("at")))
+    total, first, last = placed.agg(F.count(F.lit(1)), F.min("at"), F.max("at")).first()
+    if limit is not None and total > limit:
+        discard(placed)
+        raise ValueError(f"{total} events exceed the limit of {limit} for one array")
+    if not total:
+        lines = events.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1)
+    else:
+        opened, closed = F.when(F.col("at") == first, "[").otherwise(""), F.when(F.col("at") == last, "]").otherwise(",")
+        lines = placed.repartitionByRange("at").sortWithinPartitions("at").select(F.concat(opened, "value", closed).alias("value"))
     lines.write.mode("overwrite").text(path)
+    discard(placed)
     return total
 
 
+def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Events of an array that :func:`write_json_array` wrote, in no order."""
+    body = F.regexp_replace(F.regexp_replace("value", r"^\[", ""), r"[,\]]$", "")
+    rows = spark.read.text(path).select(body.alias("value")).where("value <> ''")
+    return rows.select(F.from_json("value", schema).alias("e")).select("e.*")
+
+
 def text_report(failures: DataFrame, ts: str = "ts") -> DataFrame:
     """Readable block per failure in ``value``: header, exception, status if any, last 3 context lines."""
     context = tail(F.col("context_lines"), 3)
@@ -96,12 +105,15 @@ def per_url_totals(events: DataFrame, url: str = "url") -> DataFrame:
     return events.rollup(url).agg(F.count(F.lit(1)).alias("n"))
 
 
-def write_per_url(events: DataFrame, path: str, url: str = "url", salts: int = 16) -> DataFrame:
+def write_per_url(events: DataFrame, path: str, url: str = "url", rows_per_file: int = 1_000_000) -> DataFrame:
     """``{url: events}`` as one folder of JSON lines per URL; returns the totals.
 
-    Rows of one URL are spread over ``salts`` tasks, so a busy URL is several files, not one task.
+    Rows of a URL are counted first and spread over one task for each ``rows_per_file`` of them, so neither a busy URL
+    nor many small ones decide the size of a file.
     """
-    salt = F.pmod(F.xxhash64(*events.columns), F.lit(salts))
-    spread = events.withColumn("__folder", F.col(url)).repartition(F.col(url), salt)
-    spread.write.mode("overwrite").partitionBy("__folder").json(path)
+    counts = events.groupBy(url).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("__parts"))
+    whole = F.xxhash64(*events.columns)
+    sized = join_one_per_key(events.withColumn("__row", whole), counts, [url], "__row")
+    spread = sized.withColumn("__folder", F.col(url)).repartition(F.col(url), F.pmod("__row", F.greatest("__parts", F.lit(1))))
+    spread.drop("__row", "__parts").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("__folder").json(path)
     return per_url_totals(events, url)

@@ -7,7 +7,7 @@ import inspect
 import logging
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceframe.sinks.files import export_ready, tail, text_report
@@ -79,6 +79,42 @@ def callback(function: Callable[[dict], object]) -> Sink:
     return lambda batch, batch_id: batch.foreachPartition(partition)
 
 
+class Tally:
+    """Calls that ended well and calls that failed, as the driver knows them after an action.
+
+    Accumulators: a task that ran again after its executor was lost may count its calls again.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._done, self._failed = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    @property
+    def done(self) -> int:
+        return self._done.value
+
+    @property
+    def failed(self) -> int:
+        return self._failed.value
+
+
+def counted_callback(function: Callable[[dict], object], tally: Tally) -> Sink:
+    """:func:`callback` whose calls are counted: nothing but two numbers comes back from the executors."""
+    done, failed = tally._done, tally._failed
+
+    def counting(event: dict) -> object:
+        try:
+            answer = function(event)
+            if inspect.isawaitable(answer):
+                asyncio.run(_await(answer))
+        except Exception:
+            failed.add(1)
+            raise
+        done.add(1)
+        return None
+
+    return callback(counting)
+
+
 async def _await(answer):
     return await answer
 
