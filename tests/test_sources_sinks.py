@@ -254,3 +254,17 @@ def test_code_facts(spark):
     assert {r.name: r.is_constant for r in code.variables(facts).where("class_name IS NULL").collect()} == {"MAX_SIZE": True, "name": False}
     assert {r.module for r in code.module_uses(facts).collect()} == {"np"}
     assert [r.file for r in code.errors(facts).collect()] == ["bad.py"]
+
+
+def test_items_beside_their_generated_rows(spark):
+    items = spark.createDataFrame([(1, "a b", [1]), (2, "", None), (3, None, []), (1, "a b", [1])], "id int, text string, tags array<int>")
+
+    def words(item):
+        for at, word in enumerate((item["text"] or "").split()):
+            yield {"at": at, "word": word, "unknown": 1}
+
+    out = records.with_generated(items, words, "at int, word string")
+    assert sorted((r.id, r.at, r.word) for r in out.collect()) == [(1, 0, "a"), (1, 0, "a"), (1, 1, "b"), (1, 1, "b")]
+    assert records.with_generated(items.limit(0), words, "at int, word string").count() == 0
+    with pytest.raises(ValueError):
+        records.with_generated(items, words, "id int")

@@ -113,6 +113,42 @@ def test_line_edits(spark):
     assert status == {1: "applied", 2: "applied", 3: "applied", 4: "mismatch", 5: "out_of_range", 6: "no_file", 7: "empty"}
 
 
+def test_line_edits_of_long_files_and_odd_rows(spark):
+    n = 20_000
+    body = "\n".join(f"v{i} = {i}" for i in range(1, n + 1))
+    files = spark.createDataFrame([("long", body), ("void", None), ("blank", ""), ("twice", "a\nb"), ("twice", "b\nb"), ("other", "z")], "file string, text string")
+    plan = [("long", i, 1, f"v{i} = {i}", f"w{i}") for i in range(1, n + 1, 3)] + [
+        ("void", 1, 1, "a", "b"), ("blank", 1, 1, "x", "y"), ("twice", 1, 1, "a", "c"), ("long", None, 2, "x", "y"), ("long", 0, 3, "x", "y"),
+        ("long", n + 1, 4, "x", "y"), (None, 1, 5, "x", "y"), ("long", 2, 6, None, "y"),
+    ]
+    rows = spark.createDataFrame(plan, "file string, line int, seq int, old_content string, new_content string")
+    out = sorted(((r.file, r.text, r.applied) for r in edits.apply_line_edits(files, rows).collect()), key=str)
+    want = "\n".join(f"w{i}" if i % 3 == 1 else f"v{i} = {i}" for i in range(1, n + 1))
+    # an empty line is held by any old text, and holds nothing to replace
+    assert out == sorted([("long", want, len(range(1, n + 1, 3))), ("void", None, 0), ("blank", "", 1), ("twice", "c\nb", 1), ("twice", "b\nb", 0)], key=str)
+    status = edits.line_edit_status(files, rows).where("file is null or file <> 'long' or seq > 1").collect()
+    assert sorted(((r.file, r.line, r.seq, r.status) for r in status), key=str) == sorted([
+        ("void", 1, 1, "out_of_range"), ("blank", 1, 1, "applied"), ("twice", 1, 1, "applied"), ("twice", 1, 1, "mismatch"), (None, 1, 5, "no_file"),
+        ("long", None, 2, "out_of_range"), ("long", 0, 3, "out_of_range"), ("long", n + 1, 4, "out_of_range"), ("long", 2, 6, "mismatch"),
+    ], key=str)
+    assert edits.apply_line_edits(files, rows.limit(0)).count() == 0 and edits.apply_line_edits(files.limit(0), rows).count() == 0
+
+
+def test_texts_of_files_without_edits_are_not_shuffled(spark, tmp_path):
+    spark.range(300).selectExpr("concat('f', id) as file", "concat('line one of ', id, '\n', repeat('x', 2000)) as text").write.parquet(f"{tmp_path}/files")
+    files = spark.read.parquet(f"{tmp_path}/files")
+    rows = spark.createDataFrame([("f7", 1, 1, "one", "two")], "file string, line int, seq int, old_content string, new_content string")
+    out = edits.apply_line_edits(files, rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # the class list is looked up on the scan's side of every exchange that carries texts, and no line becomes a row
+    assert "Generate" not in plan and "LeftSemi, BuildRight" in plan
+    (row,) = out.collect()
+    assert row.file == "f7" and row.text.startswith("line two of 7\n") and row.applied == 1
+    replaced = edits.replace_first(files, spark.createDataFrame([("f7", "one", "two"), ("gone", "one", "two")], "file string, search string, replacement string"))
+    assert "LeftSemi, BuildRight" in replaced._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.file, r.status) for r in replaced.collect()) == [("f7", "replaced"), ("gone", "no_file")]
+
+
 def test_replace(spark):
     body = "x = 1\nprint(x)\nx  =  1\nprint(x)"
     files = spark.createDataFrame([("f", body)], "file string, text string")

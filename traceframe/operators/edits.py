@@ -10,14 +10,29 @@ from pyspark.sql import functions as F
 from traceframe.functions.text import normalize_newlines, strip
 
 
-def _lines_with_edits(files: DataFrame, edits: DataFrame, file: str, text: str) -> DataFrame:
-    """Lines of edited files with the folded result of their edits, joined on ``(file, line)``."""
-    planned = edits.groupBy(file, F.col("line").cast("long").alias("line")).agg(
-        F.array_sort(F.collect_list(F.struct("seq", strip(F.col("old_content")).alias("old"), strip(F.col("new_content")).alias("new")))).alias("plan")
-    )
-    touched = files.join(edits.select(file).distinct(), file, "left_semi")
-    lines = touched.select(file, F.posexplode(F.split(F.col(text), "\n", -1)).alias("__pos", "__line"))
-    lines = lines.select(file, (F.col("__pos") + 1).cast("long").alias("line"), "__line")
+#: Hash classes of file names. The list of those that have an edit is broadcast: at most this many integers, however many edits.
+CLASSES = 1 << 18
+
+
+def _touched(files: DataFrame, edits: DataFrame, file: str) -> DataFrame:
+    """Files whose name is in the hash class of one with an edit; the texts of all others leave before a shuffle."""
+    of = lambda name: F.pmod(F.xxhash64(name), F.lit(CLASSES)).cast("int")
+    classes = edits.select(of(F.col(file).cast(files.schema[file].dataType)).alias("__class")).distinct()
+    return files.join(F.broadcast(classes), of(F.col(file)) == F.col("__class"), "left_semi")
+
+
+def _line_edits(files: DataFrame, edits: DataFrame, file: str, text: str) -> DataFrame:
+    """One row per file with edits: ``__there``, its ``__lines``, ``__done`` (per edited line the lines ahead of it that stay,
+    and the folded line) and ``__out`` (edits of lines it does not have).
+
+    Only edits are shuffled by line. A text is split in its own row and put together from slices between edited lines.
+    """
+    line = F.col("line").cast("long")
+    wanted = F.struct("seq", strip(F.col("old_content")).alias("old"), strip(F.col("new_content")).alias("new"))
+    steps = edits.groupBy(file, line.alias("line")).agg(F.array_sort(F.collect_list(wanted)).alias("steps"))
+    plans = steps.groupBy(file).agg(F.array_sort(F.collect_list(F.struct("line", "steps"))).alias("__plan"))
+    texts = _touched(files, edits, file).select(file, F.split(F.col(text), "\n", -1).alias("__lines"), F.lit(True).alias("__there"))
+    seq = edits.schema["seq"].dataType.simpleString()
 
     def step(state: Column, edit: Column) -> Column:
         actual = strip(state["text"])
@@ -28,30 +43,47 @@ def _lines_with_edits(files: DataFrame, edits: DataFrame, file: str, text: str)
             F.concat(state["log"], F.array(F.struct(edit["seq"].alias("seq"), status.alias("status")))).alias("log"),
         )
 
-    seq = edits.schema["seq"].dataType.simpleString()
-    start = F.struct(F.col("__line").alias("text"), F.array().cast(f"array<struct<seq:{seq},status:string>>").alias("log"))
-    folded = F.when(F.col("plan").isNotNull(), F.aggregate("plan", start, step)).otherwise(start)
-    return lines.join(planned, [file, "line"], "left").select(file, "line", folded.alias("r"))
+    def fold(p: Column, i: Column) -> Column:
+        at = p["line"].cast("int")
+        ahead = F.coalesce(F.get("__in", i - 1)["line"], F.lit(0)).cast("int")
+        start = F.struct(F.get("__lines", at - 1).alias("text"), F.expr(f"cast(array() as array<struct<seq:{seq},status:string>>)").alias("log"))
+        return F.struct(
+            p["line"].alias("line"),
+            F.slice("__lines", ahead + 1, at - ahead - 1).alias("ahead"),
+            F.aggregate(p["steps"], start, step).alias("r"),
+        )
+
+    inside = lambda p: F.coalesce(p["line"].between(1, F.size("__lines")), F.lit(False))
+    joined = plans.join(texts, file, "left")
+    sorted_out = joined.select(
+        file, "__there", "__lines", F.filter("__plan", inside).alias("__in"), F.filter("__plan", lambda p: ~inside(p)).alias("__out")
+    )
+    return sorted_out.withColumn("__done", F.transform("__in", fold))
 
 
 def apply_line_edits(files: DataFrame, edits: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
     """Edited files. An edit applies when the line still holds its old text (or is held by it); edits of
-    one line apply in ``seq`` order. Files without an edit are not read into lines."""
-    lines = _lines_with_edits(files, edits, file, text)
-    return lines.groupBy(file).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "r.text"))), lambda x: x["text"]), "\n").alias(text),
-        F.sum(F.size(F.filter("r.log", lambda e: e["status"] == "applied"))).alias("applied"),
+    one line apply in ``seq`` order. Files without an edit are neither shuffled nor split; a null text stays null, with no
+    edit applied; rows that repeat a file name are edited each."""
+    done = _line_edits(files, edits, file, text).where("__there")
+    last = F.coalesce(F.get("__done", F.size("__done") - 1)["line"], F.lit(0)).cast("int")
+    pieces = F.flatten(F.transform("__done", lambda d: F.concat(d["ahead"], F.array(d["r"]["text"]))))
+    hits = lambda d: F.size(F.filter(d["r"]["log"], lambda e: e["status"] == "applied")).cast("long")
+    return done.select(
+        file,
+        F.array_join(F.concat(pieces, F.slice("__lines", last + 1, F.size("__lines"))), "\n").alias(text),
+        F.aggregate("__done", F.lit(0).cast("long"), lambda n, d: n + hits(d)).alias("applied"),
     )
 
 
 def line_edit_status(files: DataFrame, edits: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
     """Status of every edit: applied, mismatch, empty, out_of_range or no_file."""
-    done = _lines_with_edits(files, edits, file, text).select(file, "line", F.explode("r.log").alias("e"))
-    done = done.select(file, "line", F.col("e.seq").alias("seq"), F.col("e.status").alias("status"))
-    present = files.select(file).distinct().withColumn("__known", F.lit(True))
-    asked = edits.select(file, F.col("line").cast("long").alias("line"), "seq").join(present, file, "left")
-    rest = F.when(F.col("__known").isNull(), "no_file").otherwise("out_of_range")
-    return asked.join(done, [file, "line", "seq"], "left").select(file, "line", "seq", F.coalesce("status", rest).alias("status"))
+    mark = lambda line, e, status: F.struct(line.alias("line"), e["seq"].alias("seq"), status.alias("status"))
+    rest = F.when(F.col("__there"), "out_of_range").otherwise("no_file")
+    made = F.transform("__done", lambda d: F.transform(d["r"]["log"], lambda e: mark(d["line"], e, e["status"])))
+    left = F.transform("__out", lambda p: F.transform(p["steps"], lambda e: mark(p["line"], e, rest)))
+    rows = _line_edits(files, edits, file, text).select(file, F.explode(F.flatten(F.concat(made, left))).alias("e"))
+    return rows.select(file, "e.line", "e.seq", "e.status")
 
 
 def occurrences(text: Column, part: Column) -> Column:
@@ -80,7 +112,7 @@ def _in_order(files: DataFrame, edits: DataFrame, file: str, text: str, step, fi
     numbered = "seq" in edits.columns
     seq = F.col("seq").cast("long") if numbered else F.lit(0).cast("long")
     plan = edits.groupBy(file).agg(F.array_sort(F.collect_list(F.struct(seq.alias("seq"), "search", "replacement", *fields))).alias("__plan"))
-    joined = plan.join(files.select(file, F.col(text).alias("__text")), file, "left")
+    joined = plan.join(_touched(files, edits, file).select(file, F.col(text).alias("__text")), file, "left")
 
     def apply(state: Column, edit: Column) -> Column:
         there = state["text"].isNotNull()

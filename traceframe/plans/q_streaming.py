@@ -271,6 +271,20 @@ def h04(spark, sf):
     return records.per_item(table(spark, sf, "conversations"), lines_of, "conv_id bigint, turn bigint, line string")
 
 
+@query(
+    "h04_item_table",
+    """SELECT conv_id, turn, CAST(w.at AS INTEGER) AS at, w.line AS line FROM conversations,
+    LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at) w""",
+)
+def h04_table(spark, sf):
+    def lines_of(item):
+        for at, line in enumerate(item["text"].split("\n"), 1):
+            yield {"at": at, "line": line}
+
+    items = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return records.with_generated(items, lines_of, "at int, line string").drop("text")
+
+
 @query(
     "s09_file_scan",
     """SELECT lang, source, COUNT(*) AS docs, CAST(SUM(len(string_split(text, chr(10)))) AS BIGINT) AS lines FROM documents GROUP BY 1, 2""",

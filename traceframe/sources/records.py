@@ -98,3 +98,23 @@ def per_item(df: DataFrame, generate: Callable[[dict], Iterable[dict]], schema:
 
     arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
     return df.mapInArrow(work, schema)
+
+
+def with_generated(df: DataFrame, generate: Callable[[dict], Iterable[dict]], schema: str) -> DataFrame:
+    """Each item beside the rows that a user generator yields for it: a Python table function in a lateral join.
+
+    The generator sees the item's columns; its own must not repeat their names. An item without rows is left
+    out (Spark drops it in a left lateral join too). Items stay spread as they are: nothing is grouped or shuffled.
+    """
+    fields = df.sparkSession.createDataFrame([], schema).schema.fieldNames()
+    if twice := set(fields) & set(df.columns):
+        raise ValueError(f"columns of the items are generated again: {sorted(twice)}")
+
+    class Generated:
+        def eval(self, item):
+            for row in generate(item.asDict(recursive=True)):
+                yield tuple(row.get(f) for f in fields)
+
+    table_function = F.udtf(Generated, returnType=schema)
+    item = F.struct(*[F.col(c).outer() for c in df.columns])
+    return df.lateralJoin(table_function(item))
