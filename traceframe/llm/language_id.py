@@ -9,7 +9,7 @@ Scoring reads whole texts: a text's value is the mean over its grams of idf time
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,9 @@ BUCKETS = 1 << 15
 #: Rows of each language that the weights are fitted on, at most (in expectation).
 SAMPLE = 1000
 #: Characters in one numpy pass; a longer text is a pass of its own.
-PASS_CHARS = 1 << 19
+PASS_CHARS = 1 << 17
+#: Rows whose texts are Python strings at a time.
+PASS_ROWS = 256
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII = np.full(128, 32, np.uint32)
 _ASCII[97:123] = np.arange(97, 123)
@@ -57,15 +59,23 @@ def _grams(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.nd
     return out, total
 
 
-def _parts(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+def _strings(column: pa.Array) -> Iterator[str | None]:
+    """The texts of a column, a few rows at a time: a batch as Python strings is far larger than its Arrow form."""
+    for at in range(0, len(column), PASS_ROWS):
+        yield from column.slice(at, PASS_ROWS).to_pylist()
+
+
+def _parts(texts: Iterable[str | None]) -> Iterator[list[str]]:
     """Runs of texts of about PASS_CHARS."""
-    row, held, size = 0, [], 0
-    for i, t in enumerate(texts):
+    held, size = [], 0
+    for t in texts:
         held.append(t or "")
         size += len(held[-1])
-        if size >= PASS_CHARS or i == len(texts) - 1:
-            yield row, held
-            row, held, size = i + 1, [], 0
+        if size >= PASS_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -75,7 +85,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         seen, rows = np.zeros(BUCKETS, np.int64), 0
         mark = np.zeros(BUCKETS, bool)
         for batch in batches:
-            for _, texts in _parts(batch.column(0).to_pylist()):
+            for texts in _parts(_strings(batch.column(0))):
                 grams, _ = _grams(texts)
                 cuts = [np.searchsorted(of, np.arange(len(texts) + 1)) for _, of in grams]
                 for i in range(len(texts)):
@@ -97,7 +107,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def _vectors(texts: list[str], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
-    for _, part in _parts(texts):
+    for part in _parts(texts):
         grams, total = _grams(part)
         cuts = [np.searchsorted(of, np.arange(len(part) + 1)) for _, of in grams]
         for i in range(len(part)):
@@ -190,7 +200,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", name: str = "lang_
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = sent.value
         labels, values = [], []
-        for _, texts in _parts(batch.column(text).to_pylist()):
+        for texts in _parts(_strings(batch.column(text))):
             grams, total = _grams(texts)
             sums = np.zeros((len(texts), len(m["labels"])))
             for bucket, of in grams:
