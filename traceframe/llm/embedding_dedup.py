@@ -171,6 +171,19 @@ def near_groups(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_i
     return out.select(own_id["vec_id"], F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(own_id["vec_id"] == component, F.lit(False)).alias("kept"))
 
 
-@query("op2_embedding_dedup")
+@query(
+    "op2_embedding_dedup",
+    """
+    WITH RECURSIVE whole AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE list_aggregate(embedding, 'count') = len(embedding) AND len(embedding) > 0),
+    good AS MATERIALIZED (SELECT vec_id, v FROM whole WHERE isfinite(list_inner_product(v, v)) AND list_inner_product(v, v) > 0),
+    links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+              WHERE CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= 0.9 END),
+    reach AS (SELECT a AS node, a AS seen FROM links UNION SELECT node, b FROM reach JOIN links ON seen = a),
+    lowest AS (SELECT node, min(seen) AS component FROM reach GROUP BY node),
+    counts AS (SELECT a AS node, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
+    FROM embeddings LEFT JOIN lowest ON vec_id = lowest.node LEFT JOIN counts ON vec_id = counts.node
+    """,
+)
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "embeddings"))
