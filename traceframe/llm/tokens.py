@@ -19,19 +19,19 @@ REMEMBERED = 3_000_000
 JOINED = 5_000
 #: White space outside ASCII (fixed values).
 WIDE_SPACE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-#: First bytes of these in UTF-8; others cannot begin one.
-_WIDE_FIRST = np.zeros(256, bool)
-_WIDE_FIRST[[c.encode()[0] for c in WIDE_SPACE]] = True
 
 
 class PieceEncoder:
     """Encodes texts with ``encode``, which maps a list of strings to lists of ids; remembers pieces by their hash.
 
     sizes: the bytes that each id stands for. New pieces are encoded side by side, and the sizes tell where each one ends.
+    whole: characters whose texts are encoded whole, as white space outside ASCII and what does not keep its size.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], sizes: np.ndarray):
-        self.encode, self.sizes = encode, sizes
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], sizes: np.ndarray, whole: str = WIDE_SPACE):
+        self.encode, self.sizes, self.apart = encode, sizes, whole
+        self.first = np.zeros(256, bool)
+        self.first[[c.encode()[0] for c in whole]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -72,10 +72,10 @@ class PieceEncoder:
         ends = np.append(starts[1:], len(data))[: len(starts)]
         of = np.searchsorted(texts.bounds, starts, "right") - 1
         whole = np.zeros(n, bool)
-        maybe = np.unique(np.searchsorted(texts.bounds, np.flatnonzero(_WIDE_FIRST[data]), "right") - 1)
+        maybe = np.unique(np.searchsorted(texts.bounds, np.flatnonzero(self.first[data]), "right") - 1)
         for i in maybe:
             text = data[texts.bounds[i] : texts.bounds[i + 1]].tobytes().decode()
-            whole[i] = any(c in text for c in WIDE_SPACE)
+            whole[i] = any(c in text for c in self.apart)
         if whole.any():
             cut = ~whole[of]
             starts, ends, of = starts[cut], ends[cut], of[cut]
