@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -79,6 +81,15 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a Python worker stays for later tasks, also of other stages, beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch; batches for which it gives None vanish."""
 
@@ -87,8 +98,10 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             out = fn(batch)
             if out is not None:
                 yield out
+        batch = out = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
-__all__ = ["ORACLES", "QUERIES", "arrow_map", "bounded_sample", "cut_lineage", "discard", "fold", "labelled_sample", "query", "remove_folder", "scratch_folder", "table", "unit_hash", "unused"]
+__all__ = ["ORACLES", "QUERIES", "arrow_map", "bounded_sample", "cut_lineage", "discard", "fold", "give_back", "labelled_sample", "query", "remove_folder", "scratch_folder", "table", "unit_hash", "unused"]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceframe.llm.common import arrow_map, bounded_sample, fold, query, table, unit_hash
+from traceframe.llm.common import arrow_map, bounded_sample, fold, give_back, query, table, unit_hash
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -95,6 +95,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                     seen += mark
                 rows += len(texts)
         used = np.flatnonzero(seen)
+        batch = texts = grams = cuts = None
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(seen[used], rows))], names=["bucket", "n"])
 
     rows = docs.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
@@ -178,7 +180,10 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
             aside[:] = False
         w = train([v for v, a in zip(vectors, aside) if not a], labels[~aside], len(names))
         scores = np.array([x @ w[at] + 0.1 * w[-1] for (at, x), a in zip(vectors, aside) if a]).reshape(-1, len(names))
-        yield pa.RecordBatch.from_arrays([pa.array([w.ravel()], pa.list_(pa.float64())), pa.array([temperature(scores, labels[aside])])], names=["weights", "temperature"])
+        fitted = temperature(scores, labels[aside])
+        batch = texts = vectors = scores = None
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([w.ravel()], pa.list_(pa.float64())), pa.array([fitted])], names=["weights", "temperature"])
 
     # one task sees the sample, which is bounded whatever the table's size
     got = chosen.repartition(1).sortWithinPartitions(F.xxhash64("text", "label")).mapInArrow(learn, "weights array<double>, temperature double").collect()

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceframe.llm.common import query, table
+from traceframe.llm.common import give_back, query, table
 from traceframe.llm.spans import passes
 from traceframe.llm.tokens import PieceEncoder
 
@@ -152,6 +152,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
                     yield out()
         windows.flush()
         yield out()
+        batch = texts = ids = None
+        give_back()
 
     given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceframe.llm.common import arrow_map, bounded_sample, fold, labelled_sample, query, table
+from traceframe.llm.common import arrow_map, bounded_sample, fold, give_back, labelled_sample, query, table
 from traceframe.llm.spans import Texts, mix, passes, starts_of
 
 #: Labelled rows of each label that the model is fitted on, at most (in expectation).
@@ -108,6 +108,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
         w, intercept = train(numbered, np.array(labels))
         used = np.flatnonzero(w)
         used = used[np.argsort(-np.abs(w[used]), kind="stable")[:WEIGHTS]]
+        batch = texts = grams = rows = numbered = None
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(np.append(known[used].view(np.int64), 0)), pa.array(np.append(w[used], intercept)), pa.array([False] * len(used) + [True])], names=["feature", "weight", "is_intercept"])
 
     # one task sees the sample, which is bounded whatever the table's size
