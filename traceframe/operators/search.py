@@ -183,9 +183,10 @@ def preview(
 ) -> DataFrame:
     """Numbered lines ``first``–``last`` of the requested files; the ``mark`` line gets ``>>>``.
 
-    The slice is cut from the joined file's line array, so other lines never become rows.
+    The slice is cut from the joined file's line array, so other lines never become rows. Both sides are
+    shuffled: requests come from tables whose size on disk says little of how many they are.
     """
-    wanted = requests.join(files.select(path, text), path)
+    wanted = requests.join(files.select(path, text).hint("merge"), path)
     lines = F.split(F.col(text), "\n", -1)
     first = F.greatest(F.col("first"), F.lit(1)).cast("int")
     length = F.greatest(F.least(F.col("last").cast("int"), F.size(lines)) - first + 1, F.lit(0))
