@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from traceframe.functions.text import line_number
 from traceframe.operators.logs import evaluate_once
+from traceframe.operators.search import LINE_BUCKET
 
 RESULT = (
     "file string, check_type string, success boolean, messages array<string>, warnings array<string>, errors array<string>, "
@@ -92,10 +93,15 @@ def summarize(results: DataFrame) -> DataFrame:
 def near_changes(issues: DataFrame, changed: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     """Issues within ``tolerance`` lines of a changed line of their file; issues naming no line stay.
 
-    Each changed line becomes the few lines it covers, so the band is an equality join.
+    Changed lines are gathered by buckets of 64 lines that they reach, so the band is an equality join with at most
+    ``64 + 2 * tolerance`` lines a row, and the issues are read a single time. Both sides are shuffled: Spark sizes the
+    gathered lines by the table they come from, and would send far more rows to every task than it believes.
     """
     placed = evaluate_once(issues, F.struct(line_number(F.col("message")).alias("line")))
-    first, last = (F.col("line") - tolerance).cast("int"), (F.col("line") + tolerance).cast("int")
-    band = changed.select("file", F.explode(F.sequence(first, last)).alias("line")).distinct().withColumn("__near", F.lit(True))
-    # the band has each (file, line) once, so a left join adds no rows and the issues are read a single time
-    return placed.join(band, ["file", "line"], "left").where(F.col("__near") | F.col("line").isNull()).select(*placed.columns)
+    at = F.col("line").cast("long")
+    bucket = lambda line: F.floor(line / LINE_BUCKET)
+    reached = changed.select("file", at.alias("__line"), F.explode(F.sequence(bucket(at - tolerance), bucket(at + tolerance))).alias("__bucket"))
+    lines = reached.groupBy("file", "__bucket").agg(F.collect_set("__line").alias("__lines"))
+    near = F.exists("__lines", lambda line: F.abs(line - at) <= tolerance)
+    found = placed.withColumn("__bucket", bucket(at)).join(lines.hint("merge"), ["file", "__bucket"], "left")
+    return found.where(near | F.col("line").isNull()).select(*placed.columns)
