@@ -139,27 +139,24 @@ def _one_file(hits: DataFrame, exact_first: bool) -> DataFrame:
 
 
 def containing_function(places: DataFrame, functions: DataFrame, key: Sequence[str], file: str = "file", line: str = "line") -> DataFrame:
-    """Left join of places with the innermost function around them.
+    """Left join of places with the innermost function around them; repeated places count once.
 
     Ranges are cut into buckets of 64 lines, so a place meets only the functions that reach its
-    bucket and a file with many functions is no all-pairs join.
+    bucket and a file with many functions is no all-pairs join. Both sides are shuffled: Spark sizes the
+    cut ranges by the files they come from, and would send far more rows to every task than it believes.
     """
     ranges = functions.select(
-        file,
+        F.col(file).alias("__file"),
         F.struct((F.col("line_end") - F.col("line_start")).alias("width"), "line_start", "line_end", "name").alias("__f"),
         F.explode(
             F.sequence(F.floor(F.col("line_start") / LINE_BUCKET), F.floor(F.col("line_end") / LINE_BUCKET))
-        ).alias("__bucket"),
+        ).alias("__at"),
     )
     asked = places.select(*key, file, line, F.floor(F.col(line) / LINE_BUCKET).alias("__bucket"))
+    # an outer join keeps places without a function in the same single pass; others of the bucket make no row
+    around = (F.col(file) == F.col("__file")) & (F.col("__bucket") == F.col("__at"))
     inside = F.col(line).between(F.col("__f.line_start"), F.col("__f.line_end"))
-    # an outer join keeps places without a function in the same single pass
-    best = (
-        asked.join(ranges, [file, "__bucket"], "left")
-        .withColumn("__f", F.when(inside, F.col("__f")))
-        .groupBy(*key, file, line)
-        .agg(F.min("__f").alias("__f"))
-    )
+    best = asked.join(ranges.hint("merge"), around & inside, "left").groupBy(*key, file, line).agg(F.min("__f").alias("__f"))
     return best.select(
         *key,
         file,

@@ -184,8 +184,8 @@ def j02(spark, sf):
         F.concat(F.lit("m"), F.col("l_partkey").cast("string"), F.lit(".py")).alias("file"),
         (1 + F.col("l_suppkey") % 70).alias("line"),
     )
-    # two identical lineitems would merge, so the place is part of the key
-    found = search.containing_function(places.distinct(), view(spark, sf, "v_funcs"), ["l_orderkey", "l_linenumber"])
+    # two identical lineitems merge, as the place is part of the key
+    found = search.containing_function(places, view(spark, sf, "v_funcs"), ["l_orderkey", "l_linenumber"])
     return found.select("l_orderkey", "l_linenumber", "file", "line", "function")
 
 
