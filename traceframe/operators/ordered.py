@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK_ROWS = 1 << 16
+#: Positions whose values are gathered into one row for :func:`context_before`, at least.
+CONTEXT_BLOCK = 64
 MICROS = 1_000_000
 
 
@@ -199,23 +201,21 @@ def last_rows(
 def context_before(
     hits: DataFrame, rows: DataFrame, keys: Sequence[str], position: str, value: Column, n: int, name: str
 ) -> DataFrame:
-    """Attach the last ``n`` values up to and including each hit; built for few hits among many rows.
+    """Attach the last ``n`` values up to and including each hit, in one aggregation and one join; null where there is none.
 
-    Every hit asks for ``n`` positions and those meet the rows in an equality join on
-    ``(key, position)``, unique on the row side. Nothing is computed for rows far from a hit.
+    Values are gathered by blocks of positions, the last ``n - 1`` of a block also into the next one. So a hit meets
+    one row, the block of its position, and cuts its values out of that; a block has at most ``size + n - 1`` values.
     """
-    wanted = hits.select(*keys, F.col(position).alias("__hit")).distinct()
-    wanted = wanted.withColumn(
-        position, F.explode(F.sequence(F.greatest(F.col("__hit") - (n - 1), F.lit(1)), F.col("__hit")))
-    )
-    values = rows.select(*keys, position, value.alias("__value"))
-    gathered = (
-        wanted.join(values, [*keys, position])
-        .groupBy(*keys, "__hit")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(position), F.col("__value")))).alias("__pairs"))
-        .select(*keys, F.col("__hit").alias(position), F.transform("__pairs", lambda p: p["__value"]).alias(name))
-    )
-    return hits.join(gathered, [*keys, position], "left")
+    size = max(CONTEXT_BLOCK, n)
+    own = F.floor((F.col(position) - 1) / F.lit(size)).cast("long")
+    tail = F.col(position) > (own + 1) * size - (n - 1)
+    at = F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))).alias("__block")
+    pair = F.struct(F.col(position).alias("p"), value.alias("v")).alias("__pair")
+    blocks = rows.select(*keys, pair, at).groupBy(*keys, "__block").agg(F.sort_array(F.collect_list("__pair")).alias("__pairs"))
+    near = F.filter("__pairs", lambda x: x["p"].between(F.col(position) - (n - 1), F.col(position)))
+    found = hits.withColumn("__block", own).join(blocks.hint("merge"), [*keys, "__block"], "left").withColumn("__near", near)
+    context = F.when(F.size("__near") > 0, F.transform("__near", lambda x: x["v"]))
+    return found.select(*keys, position, *[c for c in hits.columns if c not in (*keys, position)], context.alias(name))
 
 
 def trailing_counts(
